@@ -40,5 +40,20 @@ fits AS (SELECT DISTINCT parts.*, rules.h, rules.p, rules.v, row_number() OVER (
 SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict FROM fits WHERE k = 1"""
 
 
+_CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+bl AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[o : o + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS o FROM bl)),
+sizes AS (SELECT DISTINCT n FROM bl),
+spot AS (SELECT doc_id, n, o, array_to_string(w[o : o + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS o FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, spot.n, o FROM spot JOIN win ON spot.s = win.s AND spot.n = win.n),
+hit AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(o, o + n)) AS p FROM m) GROUP BY 1),
+it AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_license_scan": _license_sql(), "op8_url_filter": _url_sql()}
+    return {"op2_license_scan": _license_sql(), "op8_url_filter": _url_sql(), "op9_decontamination": _CONTAMINATION}
