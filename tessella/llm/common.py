@@ -72,3 +72,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def whole_groups(batches, keys: list[str]):
+    """From batches sorted by ``keys``: frames of whole groups, one or more at a time."""
+    import pandas as pd
+
+    held = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        last = pdf.iloc[-1]
+        inside = pdf[keys].eq(last[keys]).all(axis=1).to_numpy()
+        first = len(pdf) - int(inside[::-1].cumprod().sum())
+        if first:
+            yield pd.concat([*held, pdf.iloc[:first]], ignore_index=True)
+            held = [pdf.iloc[first:]]
+        elif held and not held[-1].iloc[-1][keys].equals(last[keys]):
+            yield pd.concat(held, ignore_index=True)
+            held = [pdf]
+        else:
+            held.append(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
