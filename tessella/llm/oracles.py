@@ -55,5 +55,17 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
+_SUBSTRINGS = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+low AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, list(DISTINCT q) AS qs FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM win JOIN low USING (s) WHERE doc_id > least) GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d),
+rest AS (SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS kept FROM word WHERE NOT EXISTS (
+  SELECT 1 FROM (SELECT doc_id, unnest(qs) AS q FROM gone) g WHERE g.doc_id = word.doc_id AND g.q = word.q) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN rest USING (doc_id)"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_license_scan": _license_sql(), "op8_url_filter": _url_sql(), "op9_decontamination": _CONTAMINATION}
+    return {"op2_license_scan": _license_sql(), "op6_substring_dedup": _SUBSTRINGS, "op8_url_filter": _url_sql(), "op9_decontamination": _CONTAMINATION}
