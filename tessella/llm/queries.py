@@ -75,5 +75,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rff import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
 def all_queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
