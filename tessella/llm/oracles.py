@@ -67,5 +67,13 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS n_re
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN rest USING (doc_id)"""
 
 
+_TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_license_scan": _license_sql(), "op6_substring_dedup": _SUBSTRINGS, "op8_url_filter": _url_sql(), "op9_decontamination": _CONTAMINATION}
+    return {"op2_license_scan": _license_sql(), "op5_exact_topk": _TOP_K, "op6_substring_dedup": _SUBSTRINGS, "op8_url_filter": _url_sql(), "op9_decontamination": _CONTAMINATION}
