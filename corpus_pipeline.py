@@ -1,10 +1,74 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last the columns
+of documents, the last the token ids as well. Each works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm.common import store
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score under 0.3) go."""
+    from tessella.llm.quality_rff import score, train, with_statistics
+
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(with_statistics(docs.select(*COLUMNS)), model).where("score >= 0.3").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document of the least doc_id stays."""
+    from tessella.llm.simhash_anchors import near_duplicates
+
+    found = near_duplicates(docs)
+    gone = store(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 50 that a document of a smaller doc_id holds as well are cut; a text that loses nothing stays as it is, one that loses all its words goes."""
+    from tessella.llm.substring_dedup import dedup_substrings
+
+    out = dedup_substrings(docs.select(*COLUMNS)).where("n_removed = 0 OR n_removed < n_words")
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth of their words or more inside passages of the benchmark go."""
+    from tessella.llm.positional_index import contamination
+
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = store(found.where("contaminated").select("doc_id", F.col("text_hash").alias("th")).distinct(), "contaminated")
+    th = F.xxhash64("text")
+    return docs.select(*COLUMNS).join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (th == gone["th"]), "left_anti").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, as little-endian unsigned 32-bit integers, and the number of them."""
+    import public_tokenizers
+
+    from tessella.llm.bpe import encode as bpe
+
+    out = bpe(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), decode=False)
+    return out.withColumn("n_tokens", F.expr("CAST(octet_length(token_ids) / 4 AS BIGINT)"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontaminate", decontaminate), ("encode", encode)]
+
+#: Fingerprints, random features and tokens have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return docs

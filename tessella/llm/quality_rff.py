@@ -141,18 +141,26 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     return docs.withColumn(into, scored("stats"))
 
 
+def held_out(doc_id, folds: int = 5):
+    """crc32(doc_id as text) mod ``folds`` is 0; a null doc_id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, label: str = "quality", stats: DataFrame | None = None) -> Model:
+    """A model from the labelled rows of ``docs`` that are not held out; ``stats``: (doc_id, stats) of all rows, if they are at hand."""
+    if stats is None:
+        stats = store(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
+    known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
+    return fit(store(stats.where(~held_out(F.col("doc_id"), folds)).join(known, "doc_id").select("stats", "y"), "labelled"), stats)
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, label: str = "quality") -> DataFrame:
-    """(doc_id, th, held_out, score, predicted) of every row of ``docs``.
+    """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
     Labels are learnt only where crc32(doc_id as text) mod ``folds`` is not 0; only the text enters a score.
-    th: hash of the text. Null and empty texts are scored like any other; a null doc_id is never held out and has no label; null labels are
+    Null and empty texts are scored like any other; a null doc_id is never held out and has no label; null labels are
     passed over; repeated labels count as often as they stand there; no labels at all: 0.5 for every row.
     """
-    own = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    stats = store(with_statistics(own).drop("text"), "statistics")
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
-    known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
-    labelled = store(stats.where(~held).join(known, "doc_id").select("stats", "y"), "labelled")
-    model = fit(labelled, stats)
-    out = score(stats, model)
-    return out.select("doc_id", "th", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    stats = store(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
+    out = score(stats, train(docs, labels, folds, label, stats))
+    return out.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -91,7 +91,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rff import classify
 
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def all_queries() -> dict:
