@@ -37,6 +37,9 @@ def spec_of(dims: dict, measures: list, rules: list | None = None, glob: bool =
 
 
 def rounded(df: DataFrame, **places: int) -> DataFrame:
+    """Floats as they can be compared: an average of numbers with two decimals, next to their count ``n``, is the rounded sum over n."""
+    if places.pop("mean", None):
+        df = df.withColumn("mean", F.round(F.col("mean") * F.col("n"), 2) / F.col("n"))
     return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
@@ -181,7 +184,7 @@ def cube_slice(spark, sf_dir):
 
 def cube_meta(spark, sf_dir):
     cube = build_cube(spec_of(FLAGS | dict([TIME]), NUMBERS[:2]), table(spark, sf_dir, "lineitem"))
-    dim = F.regexp_extract(F.explode(F.split("xunit", ",")), r"^/([^/]+)", 1)
+    dim = F.explode(F.transform(F.split("xunit", ","), lambda p: F.regexp_extract(p, r"^/([^/]+)", 1)))
     return cube.where("xunit <> '/G'").select(dim.alias("dim")).groupBy("dim").agg(F.count("*").alias("cells"))
 
 
@@ -207,7 +210,7 @@ def _shown(cells):
 
     layout = Layout.of(spec_of({"kind": ["event_type"]}, STATES, temporal=TEMPORAL))
     return cells.select(
-        F.unix_micros("bucket_start").alias("bucket"), xunit_text(layout).alias("xunit"), F.round("total", 2).alias("total"), "n", "low", "high", F.round(F.col("mean.total") / F.col("mean.count"), 6).alias("mean")
+        F.unix_micros("bucket_start").alias("bucket"), xunit_text(layout).alias("xunit"), F.round("total", 2).alias("total"), "n", "low", "high", (F.round("mean.total", 2) / F.col("mean.count")).alias("mean")
     )
 
 
@@ -250,12 +253,12 @@ def temporal_rollup(spark, sf_dir):
     build = _temporal(spark, sf_dir)
     daily = rollup_states(build.states, build.spec, DAY)
     total, n = F.col(f"{state_column(build.spec.measures[4])}.total"), F.col(f"{state_column(build.spec.measures[4])}.count")
-    return daily.groupBy(F.unix_micros("bucket_start").alias("bucket")).agg(F.sum("n_v1").alias("n"), F.round(F.sum("total_v1"), 2).alias("total"), F.min("low_v1").alias("low"), F.max("high_v1").alias("high"), F.round(F.sum(total) / F.sum(n), 6).alias("mean"))
+    return daily.groupBy(F.unix_micros("bucket_start").alias("bucket")).agg(F.sum("n_v1").alias("n"), F.round(F.sum("total_v1"), 2).alias("total"), F.min("low_v1").alias("low"), F.max("high_v1").alias("high"), (F.round(F.sum(total), 2) / F.sum(n)).alias("mean"))
 
 
 def temporal_lateness(spark, sf_dir):
     """Events as if each had been seen an hour and a half, twice its number of minutes modulo a day, later."""
-    seen = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.lit(90) * UNITS["m"] + F.col("event_id") % 720 * 2 * UNITS["m"])
+    seen = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.lit(90 * UNITS["m"]) + F.col("event_id") % 720 * 2 * UNITS["m"])
     ok = on_time(F.col("ts"), seen, 6 * UNITS["h"], UNITS["h"])
     return table(spark, sf_dir, "events").select("event_type", ok.alias("on_time")).groupBy("event_type", "on_time").agg(F.count("*").alias("n"))
 
@@ -317,7 +320,7 @@ def correction_rebuild(spark, sf_dir):
     from .functions.states import average_parts
 
     rows = store.visible().withColumn("a", average_parts("mean_v1"))
-    return rows.groupBy("window_id", "revision").agg(F.sum("n_v1").alias("n"), F.round(F.sum("total_v1"), 2).alias("total"), F.round(F.sum("a.total") / F.sum("a.count"), 6).alias("mean"))
+    return rows.groupBy("window_id", "revision").agg(F.sum("n_v1").alias("n"), F.round(F.sum("total_v1"), 2).alias("total"), (F.round(F.sum("a.total"), 2) / F.sum("a.count")).alias("mean"))
 
 
 def range_segments(spark, sf_dir):

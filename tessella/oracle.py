@@ -8,7 +8,7 @@ import itertools
 FLAG = {"flag": [("l_returnflag", "l_returnflag")]}
 STATUS = {"status": [("l_linestatus", "l_linestatus")]}
 TIME = {"time": [("year", "strftime(l_shipdate, '%Y')"), ("month", "strftime(l_shipdate, '%m')")]}
-NUMBERS = "round(sum(l_extendedprice), 2) AS revenue, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high, round(avg(l_discount), 6) AS mean"
+NUMBERS = "round(sum(l_extendedprice), 2) AS revenue, count(*) AS n, min(l_quantity) AS low, max(l_quantity) AS high, round(sum(l_discount), 2) / count(*) AS mean"
 SUMS = "round(sum(l_extendedprice), 2) AS revenue, count(*) AS n"
 
 
@@ -64,7 +64,7 @@ KIND = {"kind": [("event_type", "event_type")]}
 DAY = {"day": [("day", "strftime(ts, '%Y-%m-%d')")]}
 EVENTS = "SELECT * FROM events"
 REACH = "count(DISTINCT user_id)::DOUBLE AS reach, count(*) AS n"
-STATES = "round(sum(value), 2) AS total, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean"
+STATES = "round(sum(value), 2) AS total, count(*) AS n, min(value) AS low, max(value) AS high, round(sum(value), 2) / count(*) AS mean"
 SIX = "epoch_us(ts) - (((epoch_us(ts) % 21600000000) + 21600000000) % 21600000000) AS bucket"
 WINDOW = "ts >= TIMESTAMP '2024-01-05 03:00:00' AND ts < TIMESTAMP '2024-01-09 00:00:00'"
 FEW = "SELECT event_type, user_id % 500 + CASE WHEN event_type = 'error' THEN 100 ELSE 0 END AS u FROM events"
@@ -119,17 +119,17 @@ FROM every JOIN big ON every.label IS NOT DISTINCT FROM big.label::VARCHAR GROUP
         "cube_slice": f"SELECT xunit, replace(replace(xunit, '/time/year=', ''), '/month=', ' / ') AS label, revenue, n FROM ({slices}) ORDER BY n DESC, xunit LIMIT 20",
         "cube_meta": f"SELECT regexp_extract(p, '^/([^/]+)', 1) AS dim, count(*) AS cells FROM (SELECT unnest(string_split(xunit, ',')) AS p FROM ({cube(LINES, FLAG | STATUS | TIME, SUMS, glob=False)})) GROUP BY 1",
         "cube_cell": "SELECT '/flag/l_returnflag=R,/status/l_linestatus=F' AS xunit, " + NUMBERS + " FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' HAVING count(*) > 0",
-        "cube_documents": cube("SELECT * FROM documents", {"lang": [("lang", "lang")], "source": [("source", "source")]}, "sum(n_chars)::BIGINT AS chars, count(*) AS n, round(avg(n_chars), 6) AS mean"),
+        "cube_documents": cube("SELECT * FROM documents", {"lang": [("lang", "lang")], "source": [("source", "source")]}, "sum(n_chars)::BIGINT AS chars, count(*) AS n, round(sum(n_chars), 2) / count(*) AS mean"),
         "temporal_build": _one_kind(STATES),
         "temporal_window": _one_kind(STATES, WINDOW),
         "temporal_quarantine": "SELECT *, (SELECT count(*) FROM events WHERE event_id % 10 = 3) AS dropped FROM (" + _one_kind(STATES, "event_id % 10 <> 3") + ")",
         "temporal_registry": f"SELECT DISTINCT xunit, 32 AS id_bytes FROM ({_one_kind('count(*) AS n')})",
         "temporal_coverage": f"WITH b AS (SELECT {SIX} FROM events WHERE {WINDOW}) SELECT greatest(min(bucket), epoch_us(TIMESTAMP '2024-01-05 03:00:00')) AS start, least(max(bucket) + 21600000000, epoch_us(TIMESTAMP '2024-01-09 00:00:00')) AS end, greatest(min(bucket), epoch_us(TIMESTAMP '2024-01-05 03:00:00')) = epoch_us(TIMESTAMP '2024-01-05 03:00:00') AND least(max(bucket) + 21600000000, epoch_us(TIMESTAMP '2024-01-09 00:00:00')) = epoch_us(TIMESTAMP '2024-01-09 00:00:00') AS exact FROM b",
         "temporal_explain": f"SELECT (SELECT count(*) FROM events) AS source_rows, 0::BIGINT AS null_event_times, sum(n)::BIGINT AS generated_xunits, count(DISTINCT bucket) AS buckets, count(*) AS output_rows FROM ({_one_kind('count(*) AS n')})",
-        "temporal_rollup": "SELECT epoch_us(date_trunc('day', ts)) AS bucket, 2 * count(*)::BIGINT AS n, round(2 * sum(value), 2) AS total, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY 1",
+        "temporal_rollup": "SELECT epoch_us(date_trunc('day', ts)) AS bucket, 2 * count(*)::BIGINT AS n, round(2 * sum(value), 2) AS total, min(value) AS low, max(value) AS high, round(2 * sum(value), 2) / (2 * count(*)) AS mean FROM events GROUP BY 1",
         "temporal_lateness": f"WITH e AS (SELECT *, {SIX} FROM events) SELECT event_type, epoch_us(ts) + 5400000000 + (event_id % 720) * 120000000 < bucket + 21600000000 + 3600000000 AS on_time, count(*) AS n FROM e GROUP BY 1, 2",
         "bucket_starts": "WITH e AS (SELECT epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00') AS d, epoch_us(ts) AS t FROM events) SELECT t - (((d % 864000000000) + 864000000000) % 864000000000) AS bucket, count(*) AS n FROM e GROUP BY 1",
-        "correction_rebuild": "SELECT strftime(ts, '%Y-%m-%d') AS window_id, CASE WHEN day(ts) IN (9, 10) THEN 2 ELSE 1 END::BIGINT AS revision, 2 * count(*)::BIGINT AS n, round(2 * sum(value), 2) AS total, round(avg(value), 6) AS mean FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1, 2",
+        "correction_rebuild": "SELECT strftime(ts, '%Y-%m-%d') AS window_id, CASE WHEN day(ts) IN (9, 10) THEN 2 ELSE 1 END::BIGINT AS revision, 2 * count(*)::BIGINT AS n, round(2 * sum(value), 2) AS total, round(2 * sum(value), 2) / (2 * count(*)) AS mean FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1, 2",
         "range_segments": """
 SELECT * FROM (VALUES (0, 604800000000, epoch_us(TIMESTAMP '2024-01-02 05:00:00'), epoch_us(TIMESTAMP '2024-01-04 00:00:00'), false), (0, 604800000000, epoch_us(TIMESTAMP '2024-01-04 00:00:00'), epoch_us(TIMESTAMP '2024-01-18 00:00:00'), true), (0, 604800000000, epoch_us(TIMESTAMP '2024-01-18 00:00:00'), epoch_us(TIMESTAMP '2024-01-20 07:00:00'), false),
   (1, 21600000000, epoch_us(TIMESTAMP '2024-01-02 01:00:00'), epoch_us(TIMESTAMP '2024-01-02 02:00:00'), false), (2, 86400000000, epoch_us(TIMESTAMP '2024-01-02 00:00:00'), epoch_us(TIMESTAMP '2024-01-03 00:00:00'), true),

@@ -50,7 +50,7 @@ class CubeView:
         if names:
             first = cube.agg(*[F.first(F.substring(f"{n}__sketch", 1, 3), ignorenulls=True).alias(n) for n in names]).first()
             self.sketches = {n: _KIND.get(bytes(first[n]), "unknown") if first[n] is not None else "unknown" for n in names}
-        dim = F.regexp_extract(F.explode(F.split("xunit", ",")), r"^/([^/]+)", 1)
+        dim = F.explode(F.transform(F.split("xunit", ","), lambda p: F.regexp_extract(p, r"^/([^/]+)", 1)))
         self.dimensions = sorted(r[0] for r in cube.where(F.col("xunit") != GLOBAL).select(dim.alias("d")).distinct().collect())
         self.cells = cube.count()
         if not self.cells:
