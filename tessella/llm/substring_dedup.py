@@ -28,7 +28,7 @@ SEED = 8
 #: 64-bit cells of the filter that tells which documents need a join: 2 MB at any size of the input.
 FILTER_CELLS = 1 << 18
 #: Words hashed at once, and entries of a worker's memory of word hashes.
-WORDS_AT_ONCE, REMEMBERED = 400_000, 300_000
+WORDS_AT_ONCE, REMEMBERED = 120_000, 100_000
 
 _BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _INVERSE = np.array([pow(int(b), -1, 1 << 64) for b in _BASE], np.uint64)
