@@ -8,15 +8,13 @@ visits nodes best first; stored distances and the triangle inequality spare most
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a tree, queries of a task, entries of a leaf, children of a node.
-SHARD_ROWS, QUERY_ROWS, PAGE, FANOUT = 8192, 2048, 256, 16
+SHARD_ROWS, QUERY_ROWS, PAGE, FANOUT = 8192, 2048, 256, 64
 #: What rounding may do to a distance; scores are whole numbers, so true distances lie much further apart.
 SLACK = 1e-6
 
@@ -42,9 +40,9 @@ class MTree:
         if len(rows) <= PAGE:
             order = np.argsort(rows)
             rows = rows[order]
-            self.nodes[me] = {"center": center, "radius": float(far.max()), "rows": rows, "to_parent": far[order], "least": int(self.ids[rows[0]]), "data": self.vectors[rows], "own": self.ids[rows]}
+            self.nodes[me] = {"center": center, "radius": float(far.max()), "rows": rows, "to_parent": far[order], "data": self.vectors[rows], "own": self.ids[rows]}
             return me
-        pivots = self.points[self.rng.choice(rows, min(FANOUT, len(rows)), replace=False)]
+        pivots = self.points[self.rng.choice(rows, min(FANOUT, 1 + len(rows) // PAGE), replace=False)]
         p = self.points[rows]
         near = ((pivots**2).sum(axis=1)[None, :] - 2 * p @ pivots.T).argmin(axis=1)
         groups = [rows[near == i] for i in range(len(pivots))]
@@ -56,57 +54,65 @@ class MTree:
         centers = np.stack([k["center"] for k in ks])
         self.nodes[me] = {
             "center": center, "radius": float(far.max()), "kids": np.array(kids), "centers": centers, "radii": np.array([k["radius"] for k in ks]),
-            "to_parent": np.sqrt(((centers - center) ** 2).sum(axis=1)), "leasts": np.array([k["least"] for k in ks]), "least": min(k["least"] for k in ks),
+            "to_parent": np.sqrt(((centers - center) ** 2).sum(axis=1)),
         }
         return me
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) but for ``own``: highest score first, ties to the smaller id."""
-        if not len(self.ids):
-            return []
-        q2 = float((query**2).sum())
-        q = np.append(query, 0.0)
-        best: list[tuple[int, int]] = []  # a heap of (score, -id): its first is the worst kept
-        bound = np.inf
-        root = self.nodes[self.root]
-        d = float(np.sqrt(((q - root["center"]) ** 2).sum()))
-        queue = [(max(0.0, d - root["radius"]), self.root, d)]
-        while queue:
-            low, at, d = heapq.heappop(queue)
-            if low > bound + SLACK:
-                break
-            node = self.nodes[at]
-            if low > bound - SLACK and len(best) == k and node["least"] > -best[0][1]:
-                continue  # at best ties, all with greater ids
-            if "rows" in node:
-                some = np.abs(d - node["to_parent"]) <= bound + SLACK
-                if not some.any():
-                    continue
-                scores, ids = (node["data"] @ query, node["own"]) if some.all() else (node["data"][some] @ query, node["own"][some])
-                if len(best) == k:
-                    ok = scores >= best[0][0]
-                    scores, ids = scores[ok], ids[ok]
-                if len(scores) > k + 1:
-                    ok = np.lexsort((ids, -scores))[: k + 1]
-                    scores, ids = scores[ok], ids[ok]
-                for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
-                    if i == own:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
-                if len(best) == k:
-                    bound = float(np.sqrt(max(0.0, q2 + self.most - 2 * best[0][0])))
-            else:
-                some = np.flatnonzero(np.abs(d - node["to_parent"]) - node["radii"] <= bound + SLACK)  # no distance is computed for the rest
-                if len(some):
-                    far = np.sqrt(((node["centers"][some] - q) ** 2).sum(axis=1))
-                    for j, f in zip(some.tolist(), far.tolist(), strict=True):
-                        low = max(0.0, f - node["radii"][j])
-                        if low <= bound + SLACK:
-                            heapq.heappush(queue, (low, int(node["kids"][j]), f))
-        return sorted(((int(s), -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each query the k best (score, id) but for its ``own`` id: highest score first, ties to the smaller id.
+
+        Every query goes best first on its own: its next node is the one of least possible distance, and it ends
+        when that lies beyond its k-th best. Queries that are at the same node at the same time share the arithmetic.
+        """
+        n, m = len(self.ids), len(queries)
+        if not n or not m:
+            return [[] for _ in range(m)]
+        place = 1 << n.bit_length()  # a key is score * place - position: greater is better, and positions ascend with ids
+        best = np.full((m, k), -(2**62), np.int64)
+        q2, q = (queries**2).sum(axis=1), np.column_stack([queries, np.zeros(m)])
+        bound = np.full(m, np.inf)
+        low = np.full((m, len(self.nodes)), np.inf)  # of nodes found and not yet visited
+        far = np.zeros((m, len(self.nodes)))  # from a query to a node's center, where computed
+        far[:, self.root] = np.sqrt(((q - self.nodes[self.root]["center"]) ** 2).sum(axis=1))
+        low[:, self.root] = np.maximum(0, far[:, self.root] - self.nodes[self.root]["radius"])
+        active = np.arange(m)
+        while len(active):
+            at = low[active].argmin(axis=1)
+            live = np.isfinite(low[active, at]) & (low[active, at] <= bound[active] + SLACK)
+            active, at = active[live], at[live]
+            low[active, at] = np.inf
+            order = np.argsort(at, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
+                node, asked = self.nodes[at[group[0]]], active[group]
+                near = np.abs(far[asked, at[group[0]], None] - node["to_parent"][None, :])
+                if "rows" in node:
+                    some = near <= bound[asked, None] + SLACK
+                    rows, some = some.any(axis=0), some.any(axis=1)
+                    if rows.any():
+                        self._leaf(node, asked[some], rows, queries, own, best, place)
+                        asked = asked[some]
+                        full = asked[best[asked, 0] > -(2**62)]
+                        worst = -(-best[full, 0] // place)  # the score of a key
+                        bound[full] = np.sqrt(np.maximum(0.0, q2[full] + self.most - 2.0 * worst))
+                else:
+                    some = near - node["radii"][None, :] <= bound[asked, None] + SLACK  # no distance is computed for a child that all of these pass by
+                    kids = np.flatnonzero(some.any(axis=0))
+                    centers = node["centers"][kids]
+                    d = np.sqrt(np.maximum(0.0, (q[asked] ** 2).sum(axis=1)[:, None] - 2 * q[asked] @ centers.T + (centers**2).sum(axis=1)[None, :]))
+                    far[np.ix_(asked, node["kids"][kids])] = d
+                    low[np.ix_(asked, node["kids"][kids])] = np.where(some[:, kids], np.maximum(0.0, d - node["radii"][kids]), np.inf)
+        out = []
+        for keys in np.sort(best, axis=1)[:, ::-1].tolist():
+            got = [x for x in keys if x > -(2**62)]
+            out.append([(-(-x // place), int(self.ids[-(-x // place) * place - x])) for x in got])
+        return out
+
+    def _leaf(self, node, asked, rows, queries, own, best, place) -> None:
+        keys = (queries[asked] @ node["data"][rows].T).astype(np.int64) * place - node["rows"][rows][None, :]
+        keys[own[asked][:, None] == node["own"][rows][None, :]] = -(2**62)
+        every = np.concatenate([best[asked], keys], axis=1)
+        k = best.shape[1]
+        best[asked] = np.sort(np.partition(every, every.shape[1] - k, axis=1)[:, every.shape[1] - k :], axis=1)
 
 
 def whole_vectors(rows: DataFrame, vector: str = "embedding", row_id: str = "vec_id", scale: int = 64) -> DataFrame:
@@ -141,7 +147,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         if not len(data) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         tree = MTree(data["vec_id"].to_numpy(np.int64), matrix(data))
-        out = [(q, i, s) for q, v in zip(asked["vec_id"].tolist(), matrix(asked), strict=True) for s, i in tree.search(v, q, k)]
+        ids = asked["vec_id"].to_numpy(np.int64)
+        out = [(q, i, s) for q, found in zip(ids.tolist(), tree.search(matrix(asked), ids, k), strict=True) for s, i in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long")
