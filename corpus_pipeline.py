@@ -23,12 +23,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the least doc_id stays."""
-    from tessella.llm.simhash_anchors import near_duplicates
-
-    found = near_duplicates(docs)
-    gone = store(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates, the document of the least doc_id stays: groups by links of fingerprints, and of 5-word shingles that are 0.8 alike. Rows without a doc_id stay."""
+    from tessella.llm.common import components, may_hold
+    from tessella.llm.simhash_anchors import near_duplicates, similar_links
+
+    links = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    found = components(links.unionByName(similar_links(docs)))
+    gone = store(found.where("node <> root").select(F.col("node").alias("doc_id"), F.lit(0).alias("th")).distinct(), "gone")
+    own = docs.select(*COLUMNS).withColumn("_z", F.lit(0))
+    some = F.coalesce(may_hold(own, gone, "doc_id", "_z"), F.lit(False))
+    left = own.where(some).join(gone.select("doc_id"), "doc_id", "left_anti")
+    return left.select(*COLUMNS).unionByName(own.where(~some).select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

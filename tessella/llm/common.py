@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +78,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def whole_groups(batches, keys: list[str]):
     """From batches sorted by ``keys``: frames of whole groups, one or more at a time."""
-    import pandas as pd
-
     held = []
     for pdf in batches:
         if not len(pdf):
@@ -95,3 +95,29 @@ def whole_groups(batches, keys: list[str]):
             held.append(pdf)
     if held:
         yield pd.concat(held, ignore_index=True)
+
+
+#: 64-bit cells of a filter of keys: 2 MB at any size of the input.
+FILTER_CELLS = 1 << 18
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """Bits of (doc_id, th), of fixed size: or-ed in Spark, at most FILTER_CELLS rows reach the driver."""
+    h = F.xxhash64("doc_id", "th")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(63)).cast("int"))
+    cells = np.zeros(FILTER_CELLS, np.int64)
+    for r in keys.groupBy(F.pmod(h, F.lit(FILTER_CELLS)).alias("c")).agg(F.bit_or(bit).alias("b")).toLocalIterator():
+        cells[r["c"]] = r["b"]
+    return cells
+
+
+def may_hold(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", th: str = "th"):
+    """A condition: may a row's key be in ``keys`` (doc_id, th)? False is sure, so such rows need no join and never leave their task."""
+    cells = docs.sparkSession.sparkContext.broadcast(_filter_of(keys))
+    h = F.xxhash64(doc_id, th)
+
+    @F.pandas_udf("boolean")
+    def found(cell: pd.Series, bit: pd.Series) -> pd.Series:
+        return pd.Series((cells.value[cell.to_numpy(np.int64)] >> bit.to_numpy(np.int64)) & 1 == 1)
+
+    return found(F.pmod(h, F.lit(FILTER_CELLS)), F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(63)))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, store, whole_groups
+from .common import components, may_hold, store, whole_groups
 
 #: (Distinct fingerprints up to, block length): shorter blocks give more anchors with fewer fingerprints at each.
 CODES = [(20_000, 7), (1_000_000, 5), (2**63, 3)]
@@ -193,3 +193,131 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, text: s
     named = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     every = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return own.join(every, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---- links by similarity of shingles -----------------------------------------------------------------------------
+
+#: (Distinct fingerprints up to, blocks of an anchor, tables): bits sampled for anchors, three to a block.
+TABLES = [(1_000_000, 16, 24), (2**63, 20, 48)]
+#: Bits of the wide fingerprint that candidates may differ in; unrelated texts differ in 80 and more.
+WIDE, FAR = 256, 44
+
+
+def wide_fingerprint(text: str | None) -> bytes:
+    """256-bit SimHash of the set of lower-cased words."""
+    w = set(text.encode("utf-8", "surrogatepass").lower().split()) if text else ()
+    if not w:
+        return bytes(WIDE // 8)
+    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) + xxhash.xxh3_128_digest(x, 1) for x in w), np.uint8).reshape(-1, WIDE // 8)
+    total = np.zeros(WIDE, np.int64)
+    for at in range(0, len(h), 16384):
+        total += np.unpackbits(h[at : at + 16384], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(h), bitorder="little").tobytes()
+
+
+def _sampled(raw: np.ndarray, blocks: int, tables: int):
+    """For each table, every fingerprint's anchor (and eight blocks more, for crowded ones): the nearest codeword of a product of repetition codes over bits that the table samples."""
+    bits = np.unpackbits(raw, axis=1, bitorder="little")
+    for t in range(tables):
+        order = np.random.default_rng([20, t]).permutation(WIDE)[: 3 * (blocks + 8)]
+        major = bits[:, order].reshape(len(bits), blocks + 8, 3).sum(axis=2, dtype=np.int64) > 1
+        yield t, major[:, :blocks] @ (np.int64(1) << np.arange(blocks)), major[:, blocks:] @ (np.int64(1) << np.arange(8))
+
+
+def _candidates(fps: np.ndarray, ids: np.ndarray, group: np.ndarray):
+    """Of rows sorted by group and id: for each, the least and the nearest of the smaller ids of its group that lie within FAR bits."""
+    n = len(ids)
+    least, near, gap = np.full(n, -1), np.full(n, -1), np.full(n, WIDE + 1)
+    ahead = np.arange(n) - np.searchsorted(group, group)
+    left = np.flatnonzero(ahead)
+    for lag in range(1, int(ahead.max(initial=0)) + 1):
+        j = left = left[ahead[left] >= lag]
+        d = np.bitwise_count(fps[j] ^ fps[j - lag]).sum(axis=1)
+        ok = d <= FAR
+        j, d = j[ok], d[ok]
+        least[j] = j - lag  # lags grow, so the last one written is the least id
+        closer = d < gap[j]
+        near[j[closer]], gap[j[closer]] = j[closer] - lag, d[closer]
+    rows = np.flatnonzero(least >= 0)
+    return np.concatenate([ids[rows], ids[rows]]), np.concatenate([ids[least[rows]], ids[near[rows]]])
+
+
+def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) between doc_ids whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates share an anchor in one of the tables of TABLES and differ in at most FAR bits of their wide fingerprints; each document is checked against
+    the least and the nearest of the smaller ids there, so a group of copies gives as many pairs as it has members. Then the
+    whole texts are compared exactly. Anchors are sampled: a link is found with a probability that rises with the similarity, and never a wrong one.
+    Texts of fewer words are one shingle. Null ids name no document; equal fingerprints are one candidate, the others are linked to the least id of theirs if they pass the same check.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["i"], "fp": [wide_fingerprint(t if isinstance(t, str) else None) for t in pdf["t"].tolist()]})
+
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).mapInPandas(run, "doc_id bigint, fp binary")
+    own = store(own, "wide")
+    distinct = store(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "wide-distinct")
+    n = distinct.count()
+    blocks, tables = next((b, t) for most, b, t in TABLES if n <= most)
+
+    def spread(batches):
+        for pdf in batches:
+            ids, raws = pdf["doc_id"].to_numpy(np.int64), pdf["fp"].tolist()
+            for at in range(0, len(ids), 2000):
+                raw = np.frombuffer(b"".join(raws[at : at + 2000]), np.uint8).reshape(-1, WIDE // 8)
+                for t, anchor, more in _sampled(raw, blocks, tables):
+                    yield pd.DataFrame({"anchor": anchor * tables + t, "more": more, "doc_id": ids[at : at + 2000], "fp": raws[at : at + 2000]})
+
+    homes = distinct.mapInPandas(spread, "anchor bigint, more bigint, doc_id bigint, fp binary")
+    crowd = store(homes.groupBy("anchor").count().where(F.col("count") > PIECE).select("anchor", F.lit(True).alias("crowded")), "crowd") if n > PIECE else None
+    few = crowd.count() if crowd is not None else 0
+    if few:
+        homes = homes.join(F.broadcast(crowd) if few <= 10_000 else crowd, "anchor", "left").withColumn("more", F.when(F.col("crowded"), F.col("more")).otherwise(0))
+    else:
+        homes = homes.withColumn("more", F.lit(0).cast("long"))
+    keys = ["anchor", "more"]
+
+    def pair(batches):
+        for pdf in whole_groups(batches, keys):
+            group = np.unique(pdf["anchor"].to_numpy(np.int64) * 256 + pdf["more"].to_numpy(np.int64), return_inverse=True)[1]
+            ids = pdf["doc_id"].to_numpy(np.int64)
+            order = np.lexsort((ids, group))
+            fps = np.frombuffer(b"".join(pdf["fp"].tolist()), "<u8").reshape(-1, WIDE // 64)[order]
+            a, b = _candidates(fps, ids[order], group[order])
+            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = homes.select(*keys, "doc_id", "fp").repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(pair, "a bigint, b bigint")
+    same = own.join(distinct.select("fp", F.col("doc_id").alias("b")), "fp").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    pairs = store(found.unionByName(same).distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("th", F.lit(0))
+    named = store(named, "named")
+
+    def shingled(batches):
+        digest = xxhash.xxh3_64_intdigest
+        for pdf in batches:
+            out = []
+            for t in pdf["t"].tolist():
+                w = t.encode("utf-8", "surrogatepass").lower().split() if isinstance(t, str) else []
+                joined, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w]).tolist()
+                begins = [0, *ends]
+                some = [digest(joined[begins[k] : ends[k + words - 1] - 1]) for k in range(len(w) - words + 1)] or [digest(joined)]
+                out.append(np.unique(np.array(some, np.uint64)).tobytes())
+            yield pd.DataFrame({"doc_id": pdf["i"], "shingles": out})
+
+    keyed = docs.withColumn("_z", F.lit(0))
+    asked = keyed.where("doc_id IS NOT NULL").where(may_hold(keyed, named, "doc_id", "_z")).select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
+    sets = store(asked.mapInPandas(shingled, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "shingles")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def check(batches):
+        for pdf in batches:
+            ok = []
+            for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= similarity * (len(x) + len(y) - common))
+            yield pdf.loc[ok, ["a", "b"]]
+
+    return both.select("a", "b", "x", "y").mapInPandas(check, "a bigint, b bigint")

@@ -21,12 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, store
+from .common import drop, may_hold, store
 
 #: Words of a minimizer seed.
 SEED = 8
-#: 64-bit cells of the filter that tells which documents need a join: 2 MB at any size of the input.
-FILTER_CELLS = 1 << 18
 #: Words hashed at once, and entries of a worker's memory of word hashes.
 WORDS_AT_ONCE, REMEMBERED = 120_000, 100_000
 
@@ -128,28 +126,6 @@ def pieces(docs: DataFrame, span: int = 50) -> DataFrame:
     return docs.mapInPandas(run, "doc_id bigint, th bigint, start int, n int, m bigint, s1 bigint, s2 bigint")
 
 
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """Bits of (doc_id, th), of fixed size: or-ed in Spark, at most FILTER_CELLS rows reach the driver."""
-    h = F.xxhash64("doc_id", "th")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(63)).cast("int"))
-    cells = np.zeros(FILTER_CELLS, np.int64)
-    for r in keys.groupBy(F.pmod(h, F.lit(FILTER_CELLS)).alias("c")).agg(F.bit_or(bit).alias("b")).toLocalIterator():
-        cells[r["c"]] = r["b"]
-    return cells
-
-
-def _flag(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", th: str = "th"):
-    """A condition: may a row's (doc_id, th) be in ``keys``? False is sure."""
-    cells = docs.sparkSession.sparkContext.broadcast(_filter_of(keys))
-    h = F.xxhash64(doc_id, th)
-
-    @F.pandas_udf("boolean")
-    def found(cell: pd.Series, bit: pd.Series) -> pd.Series:
-        return pd.Series((cells.value[cell.to_numpy(np.int64)] >> bit.to_numpy(np.int64)) & 1 == 1)
-
-    return found(F.pmod(h, F.lit(FILTER_CELLS)), F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(63)))
-
-
 def repeated_ranges(docs: DataFrame, span: int = 50) -> DataFrame:
     """(doc_id, th, ranges) of (doc_id, th, text): windows whose words also start in a document of a smaller doc_id, each range as first word << 32 | windows."""
     own = pieces(docs.where("doc_id IS NOT NULL"), span)
@@ -163,7 +139,7 @@ def repeated_ranges(docs: DataFrame, span: int = 50) -> DataFrame:
     whole = placed.where("doc_id > least").select("doc_id", "th", F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("range"))
     opened = placed.where("doc_id = least AND branch").groupBy("doc_id", "th").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("open"))
     opened = store(opened, "opened")
-    texts = docs.where("doc_id IS NOT NULL").where(_flag(docs, opened)).join(opened, ["doc_id", "th"])
+    texts = docs.where("doc_id IS NOT NULL").where(may_hold(docs, opened)).join(opened, ["doc_id", "th"])
     edges = store(_edges(texts, span), "edges")
     twice2 = store(edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "edges-twice")
     single = store(edges.join(twice2, ["w1", "w2"]).where("doc_id > least").select("doc_id", "th", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.lit(1).cast("long")).alias("range")), "repeats")
@@ -231,7 +207,7 @@ def dedup_substrings(docs: DataFrame, span: int = 50, text: str = "text", doc_id
                 yield pd.concat([part.drop(columns=["_ranges", "_th", "_id"], errors="ignore"), pd.DataFrame(rows, columns=list(new))], axis=1)
 
     keys = ranges.select(F.col("doc_id"), F.col("th"), F.col("ranges").alias("_ranges"))
-    some = _flag(named, ranges, "_id", "_th")
+    some = may_hold(named, ranges, "_id", "_th")
     flagged, clean = named.where(some), named.where(~some)  # those that surely have no range never leave their task
     joined = flagged.join(keys, (flagged["_id"] == keys["doc_id"]) & (flagged["_th"] == keys["th"]), "left").select(*[flagged[f.name] for f in fields], keys["_ranges"])
     plain = clean.select(*[f.name for f in fields], F.lit(None).cast("array<bigint>").alias("_ranges"))
