@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import drop, store
 
-#: Dishes that are single words; the table of predictive probabilities, (VOCABULARY + 2)**2 floats or 67 MB at any size of the corpus, is broadcast.
-VOCABULARY = 4096
+#: Dishes that are single words; the table of predictive probabilities, (VOCABULARY + 2)**2 floats or 38 MB at any size of the corpus, is broadcast.
+VOCABULARY = 3072
 #: Frequent words whose counts are broadcast to scoring; the counts of all others come by a join.
 REMEMBERED = 65_536
 #: Sweeps before samples are taken, samples, customers that each dish reseats in a sweep.
