@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,8 +18,35 @@ def test_entry_lists_the_queries():
     assert set(entry.oracle_sql()) <= names
 
 
+def stay_by_hand(rows):
+    """The least id of each group, by links of fingerprints and of 5-word shingles that are 0.8 alike."""
+    from tests.llm.test_text_operators import plain_fingerprint
+
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    fps, sets, root = [plain_fingerprint(t) for _, t in rows], [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(rows)):
+        for i in range(j):
+            common = len(sets[i] & sets[j])
+            if bin(fps[i] ^ fps[j]).count("1") <= 2 or common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return set(least.values())
+
+
 def test_stages_against_what_they_promise(spark):
-    from tests.llm.test_text_operators import cut_by_hand, hits_by_hand, plain_fingerprint, roots
+    from tests.llm.test_text_operators import cut_by_hand, hits_by_hand
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -32,12 +60,7 @@ def test_stages_against_what_they_promise(spark):
     good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id").toPandas()["doc_id"]
     assert 0 < len(after) < len(before) and set(good) & set(before["doc_id"]) <= set(after["doc_id"])
     before, after = kept["near_dedup"]
-    fps = {i: plain_fingerprint(t) for i, t in zip(before["doc_id"], before["text"], strict=True)}
-    root = roots(set(fps.values()))
-    least = {}
-    for i, f in fps.items():
-        least[root[f]] = min(i, least.get(root[f], i))
-    assert set(after["doc_id"]) == set(least.values())
+    assert set(after["doc_id"]) == stay_by_hand(list(zip(before["doc_id"], before["text"], strict=True)))
     before, after = kept["substring_dedup"]
     want = {i: t for (i, n, gone, t) in cut_by_hand(list(zip(before["doc_id"], before["text"], strict=True)), 50) if gone and gone < n}
     texts = dict(zip(after["doc_id"], after["text"], strict=True))
@@ -47,3 +70,33 @@ def test_stages_against_what_they_promise(spark):
     assert set(after["doc_id"]) == clean
     assert len(kept["encode"][1]) == len(after) and (kept["encode"][1]["n_tokens"] > 0).all()
     assert cp.run(spark, SF).select(F.sum("n_tokens")).first()[0] == kept["encode"][1]["n_tokens"].sum()
+
+
+def test_similar_links(documents, no_documents, with_clashes, odd, monkeypatch):
+    from tessella.llm import simhash_anchors as S
+
+    rng = np.random.default_rng(9)
+    word = lambda: "w" + str(int(rng.zipf(1.3)) % 5000)
+    rows = []
+    for k in range(25):
+        base = [word() for _ in range(int(rng.integers(60, 300)))]
+        for c in range(4):
+            w = list(base)
+            for _ in range(int(c * rng.integers(0, 3))):
+                w[int(rng.integers(len(w)))] = word()
+            rows.append((k * 10 + c, " ".join(w)))
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "a c"), (None, rows[0][1]), (905, rows[0][1]), (905, rows[0][1])]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for piece in (20_000, 30):
+        monkeypatch.setattr(S, "PIECE", piece)
+        links = {tuple(sorted(r)) for r in S.similar_links(with_clashes(documents(rows), "a", "b", "fp", "more")).collect()}
+        assert all(alike(a, b) for a, b in links) and (902, 903) in links and (902, 904) not in links
+        ids = sorted({i for i, _ in rows if i is not None})
+        linked = {b for a, b in links}
+        want = {b for b in ids if any(a < b and alike(a, b) for a in ids)}
+        assert linked <= want and len(want - linked) <= 0.05 * len(want)
+    assert S.similar_links(no_documents).count() == 0 and {tuple(sorted(r)) for r in S.similar_links(odd).collect()} >= {(5, 6), (4, 9), (1, 2)}
