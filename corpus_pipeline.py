@@ -9,37 +9,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import store
+from tessella.llm.common import small_batches, split_by, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.3) go."""
-    from tessella.llm.quality_rff import score, train, with_statistics
+    from tessella.llm.quality_rff import keep, train
 
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(with_statistics(docs.select(*COLUMNS)), model).where("score >= 0.3").select(*COLUMNS)
+    small_batches(spark)
+    return keep(docs.select(*COLUMNS), train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document of the least doc_id stays: groups by links of fingerprints, and of 5-word shingles that are 0.8 alike. Rows without a doc_id stay."""
-    from tessella.llm.common import components, may_hold
+    from tessella.llm.common import components
     from tessella.llm.simhash_anchors import near_duplicates, similar_links
 
+    small_batches(spark)
     links = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     found = components(links.unionByName(similar_links(docs)))
     gone = store(found.where("node <> root").select(F.col("node").alias("doc_id"), F.lit(0).alias("th")).distinct(), "gone")
     own = docs.select(*COLUMNS).withColumn("_z", F.lit(0))
-    some = F.coalesce(may_hold(own, gone, "doc_id", "_z"), F.lit(False))
-    left = own.where(some).join(gone.select("doc_id"), "doc_id", "left_anti")
-    return left.select(*COLUMNS).unionByName(own.where(~some).select(*COLUMNS))
+    some, others = split_by(own, gone, "doc_id", "_z")
+    return some.join(gone.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS).unionByName(others.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 50 that a document of a smaller doc_id holds as well are cut; a text that loses nothing stays as it is, one that loses all its words goes."""
     from tessella.llm.substring_dedup import dedup_substrings
 
+    small_batches(spark)
     out = dedup_substrings(docs.select(*COLUMNS)).where("n_removed = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
@@ -49,6 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with a twentieth of their words or more inside passages of the benchmark go."""
     from tessella.llm.positional_index import contamination
 
+    small_batches(spark)
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = store(found.where("contaminated").select("doc_id", F.col("text_hash").alias("th")).distinct(), "contaminated")
     th = F.xxhash64("text")
@@ -61,6 +63,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from tessella.llm.bpe import encode as bpe
 
+    small_batches(spark)
     out = bpe(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), decode=False)
     return out.withColumn("n_tokens", F.expr("CAST(octet_length(token_ids) / 4 AS BIGINT)"))
 

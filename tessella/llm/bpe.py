@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's memory of encoded words and fragments; when full it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 #: Texts of these characters only are split by one expression here; others by the tokenizer's own normalizer and splitter.
 _OTHER = re.compile("[^\t\n\r -~À-įı-ſ]")

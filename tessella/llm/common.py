@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,27 +96,25 @@ def whole_groups(batches, keys: list[str]):
         yield pd.concat(held, ignore_index=True)
 
 
-#: 64-bit cells of a filter of keys: 2 MB at any size of the input.
+#: 64-bit cells of a filter of keys: 4 MB in a broadcast join, at any size of the input.
 FILTER_CELLS = 1 << 18
 
 
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """Bits of (doc_id, th), of fixed size: or-ed in Spark, at most FILTER_CELLS rows reach the driver."""
-    h = F.xxhash64("doc_id", "th")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(63)).cast("int"))
-    cells = np.zeros(FILTER_CELLS, np.int64)
-    for r in keys.groupBy(F.pmod(h, F.lit(FILTER_CELLS)).alias("c")).agg(F.bit_or(bit).alias("b")).toLocalIterator():
-        cells[r["c"]] = r["b"]
-    return cells
-
+def split_by(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", th: str = "th") -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose key may be in ``keys`` (doc_id, th), and those whose key surely is not: these need no join and never leave their task.
 
-def may_hold(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", th: str = "th"):
-    """A condition: may a row's key be in ``keys`` (doc_id, th)? False is sure, so such rows need no join and never leave their task."""
-    cells = docs.sparkSession.sparkContext.broadcast(_filter_of(keys))
-    h = F.xxhash64(doc_id, th)
+    One bit per key in a table of at most FILTER_CELLS rows, which is what is broadcast.
+    """
+    cell, bit = lambda h: F.pmod(h, F.lit(FILTER_CELLS)), lambda h: F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(63)).cast("int")
+    h = F.xxhash64("doc_id", "th")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit(h))
+    cells = store(keys.groupBy(cell(h).alias("_cell")).agg(F.bit_or(mask).alias("_bits")), "filter")
+    own = F.xxhash64(doc_id, th)
+    marked = docs.withColumn("_at", cell(own)).join(F.broadcast(cells), F.col("_at") == F.col("_cell"), "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col("_bits"), bit(own)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return marked.where(hit).select(*docs.columns), marked.where(~hit).select(*docs.columns)
 
-    @F.pandas_udf("boolean")
-    def found(cell: pd.Series, bit: pd.Series) -> pd.Series:
-        return pd.Series((cells.value[cell.to_numpy(np.int64)] >> bit.to_numpy(np.int64)) & 1 == 1)
 
-    return found(F.pmod(h, F.lit(FILTER_CELLS)), F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(63)))
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Python workers get this many rows at once: batches of long texts stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

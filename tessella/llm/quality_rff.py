@@ -141,6 +141,18 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     return docs.withColumn(into, scored("stats"))
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that score ``threshold`` or more; statistics and score in one step."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for pdf in batches:
+            stats = np.array([statistics(t if isinstance(t, str) else None) for t in pdf[text].tolist()]).reshape(-1, len(NAMES))
+            yield pdf[shared.value.score(stats) >= threshold]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def held_out(doc_id, folds: int = 5):
     """crc32(doc_id as text) mod ``folds`` is 0; a null doc_id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, may_hold, store, whole_groups
+from .common import components, split_by, store, whole_groups
 
 #: (Distinct fingerprints up to, block length): shorter blocks give more anchors with fewer fingerprints at each.
 CODES = [(20_000, 7), (1_000_000, 5), (2**63, 3)]
@@ -306,8 +306,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
                 out.append(np.unique(np.array(some, np.uint64)).tobytes())
             yield pd.DataFrame({"doc_id": pdf["i"], "shingles": out})
 
-    keyed = docs.withColumn("_z", F.lit(0))
-    asked = keyed.where("doc_id IS NOT NULL").where(may_hold(keyed, named, "doc_id", "_z")).select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
+    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.lit(0).alias("_z"))
+    asked = split_by(keyed, named, "doc_id", "_z")[0].select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
     sets = store(asked.mapInPandas(shingled, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "shingles")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 

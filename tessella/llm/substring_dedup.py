@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, may_hold, store
+from .common import drop, split_by, store
 
 #: Words of a minimizer seed.
 SEED = 8
@@ -139,7 +139,7 @@ def repeated_ranges(docs: DataFrame, span: int = 50) -> DataFrame:
     whole = placed.where("doc_id > least").select("doc_id", "th", F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("range"))
     opened = placed.where("doc_id = least AND branch").groupBy("doc_id", "th").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("open"))
     opened = store(opened, "opened")
-    texts = docs.where("doc_id IS NOT NULL").where(may_hold(docs, opened)).join(opened, ["doc_id", "th"])
+    texts = split_by(docs.where("doc_id IS NOT NULL"), opened)[0].join(opened, ["doc_id", "th"])
     edges = store(_edges(texts, span), "edges")
     twice2 = store(edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "edges-twice")
     single = store(edges.join(twice2, ["w1", "w2"]).where("doc_id > least").select("doc_id", "th", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.lit(1).cast("long")).alias("range")), "repeats")
@@ -207,8 +207,7 @@ def dedup_substrings(docs: DataFrame, span: int = 50, text: str = "text", doc_id
                 yield pd.concat([part.drop(columns=["_ranges", "_th", "_id"], errors="ignore"), pd.DataFrame(rows, columns=list(new))], axis=1)
 
     keys = ranges.select(F.col("doc_id"), F.col("th"), F.col("ranges").alias("_ranges"))
-    some = may_hold(named, ranges, "_id", "_th")
-    flagged, clean = named.where(some), named.where(~some)  # those that surely have no range never leave their task
+    flagged, clean = split_by(named, ranges, "_id", "_th")
     joined = flagged.join(keys, (flagged["_id"] == keys["doc_id"]) & (flagged["_th"] == keys["th"]), "left").select(*[flagged[f.name] for f in fields], keys["_ranges"])
     plain = clean.select(*[f.name for f in fields], F.lit(None).cast("array<bigint>").alias("_ranges"))
     return joined.mapInPandas(cut, schema).unionByName(plain.mapInPandas(cut, schema))
