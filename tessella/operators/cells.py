@@ -3,8 +3,8 @@
 Rows are first aggregated to base tuples (all levels in use), with states that merge;
 tuples are then grouped by GROUPING SETS, one set for each shape that the
 rules keep. So Expand multiplies tuples, not rows. Measures that need more than a merge of numbers
-(distinct, sample, top_k, quantile) go the same way with their own key, and are cut to size by a
-rank that Spark also limits before the shuffle. All parts meet in one more aggregation by cell.
+(sample, top_k, quantile) go the same way with their own key, and are cut to size by a
+rank that Spark also limits before the shuffle; distinct counts have a reduction of their own (``bottom_k``). All parts meet in one more aggregation by cell.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..functions.sketches import KMV_SIZE, SAMPLE_SIZE, TOP_K_SIZE, value_hash
 from ..plans.shapes import Depths, shapes
 from ..spec import CubeSpec, Measure
 from ..xunits import GLOBAL, SCRUB
+from .bottom_k import bottom_k_cells
 
 #: Grouping sets in one pass; more shapes go in several passes.
 SETS_AT_ONCE = 48
@@ -183,17 +184,18 @@ def measure_cells(base: DataFrame, layout: Layout, extra: list[str], inputs: dic
             merged += [F.sum(f"__n{i}").alias(f"__n{i}"), *[F.sum(n).alias(n) for n in names]]
             sums = F.array(*[F.col(n) for n in names]) if names else F.array().cast("array<double>")
             scalar.append((m.name, F.struct(F.col(f"__n{i}").alias("count"), F.when(F.col(f"__n{i}") > 0, sums).alias("sums"))))
-        elif m.agg in ("count_distinct", "reservoir_sample"):
-            most = m.state.get("kmvSize", KMV_SIZE) if m.agg == "count_distinct" else m.state.get("sampleCapacity", SAMPLE_SIZE)
+        elif m.agg == "count_distinct":
+            sets = [([*extra, *layout.members(k)], layout.deepest(k)) for k in layout.kept]
+            frames.append((m.name, bottom_k_cells(rows, f"__x{i}", extra, layout.flat, sets, m.state.get("kmvSize", KMV_SIZE), m.name)))
+        elif m.agg == "reservoir_sample":
+            most = m.state.get("sampleCapacity", SAMPLE_SIZE)
             seen = rows.where(x.isNotNull()).select(*keys, x.alias("v")).distinct()
             values = seen.select("v").distinct().withColumn("h", value_hash("v"))  # Python sees each value once
-            hashed = seen.join(values, "v").select(*keys, "h", *([] if m.agg == "count_distinct" else ["v"]))
-            what = ["h"] if m.agg == "count_distinct" else ["h", "v"]
+            hashed, what = seen.join(values, "v").select(*keys, "h", "v"), ["h", "v"]
             tuples = _ranked(hashed, keys, [F.col(w) for w in what], most) if keys else hashed
             cells = to_cells_of(tuples, layout, extra, what)
             cut = _ranked(cells, keys or ["__one"], [F.col(w) for w in what], most)
-            item = F.col("h") if m.agg == "count_distinct" else F.struct("h", "v")
-            frames.append((m.name, cut.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(m.name))))
+            frames.append((m.name, cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("h", "v"))).alias(m.name))))
         elif m.agg == "top_k":
             summed = rows.where(x.isNotNull() & F.col(f"__y{i}").isNotNull()).groupBy(*keys, x.alias("key")).agg(F.sum(f"__y{i}").alias("score"))
             cells = to_cells_of(summed, layout, extra, ["key"], [F.sum("score").alias("score")])

@@ -131,3 +131,40 @@ def test_algebra_over_cells(spark):
     assert no_global["lift"] is None
     rate = {r["xunit"]: r["rate"] for r in algebra.rates(build_cube(s, df), "n", "outcome", "outcome", "error").collect()}
     assert rate == {"/G": 0.4, "/tool/tool=Bash": 1 / 3, "/tool/tool=Read": 0.5}
+
+
+def test_bottom_k_is_the_sketch_of_each_cell(spark, monkeypatch):
+    from tessella.operators import bottom_k as bk
+
+    monkeypatch.setattr(bk, "ROWS_AT_ONCE", 70)
+    rows = [(f"c{i % 3}" if i % 11 else None, f"t{i % 4}" if i % 7 else None, f"u{i * 7 % 900}" if i % 5 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "country string, city string, who string").repartition(3)
+    s = CubeSpec.from_dict({"apiVersion": "v1", "name": "c", "dimensions": [{"name": "geo", "levels": ["country", "city"]}, {"name": "city"}], "measures": [{"name": "u", "agg": "count_distinct", "input": "who"}, {"name": "n", "agg": "count"}], "includeGlobal": True})
+    want = {}
+    for country, city, who in rows:
+        for x in generate_xunits(s, {"geo": [country, city], "city": [city]}):
+            want.setdefault(str(x), set()).update([who] if who else [])
+    small = {x: KmvSketch(1024).extend(v) for x, v in want.items()}
+    got = cells(build_cube(s, df))
+    assert {x: KmvSketch.from_bytes(r["u__sketch"]) for x, r in got.items()} == small
+    keyed = df.select(F.col("country").alias("a"), F.col("who").alias("x"))
+    out = bk.bottom_k_cells(keyed, "x", [], ["a"], [(["a"], ["a"]), ([], [])], 16, "h").collect()
+    assert {r["a"]: list(r["h"]) for r in out} == {c: [h - 2**63 for h in KmvSketch(16).extend(w for k, _, w in rows if w and (c is None or k == c)).hashes] for c in ("c0", "c1", "c2", None)}
+
+
+def test_functions_in_sql(spark, web):
+    from tessella.functions.encoding import content_id
+    from tessella.functions.register import register
+    from tessella.functions.states import AverageState, QuantileState
+    from tessella.xunits import XUnit
+
+    register(spark)
+    ms = [{"name": "u", "agg": "count_distinct", "input": "user_id"}, {"name": "t", "agg": "top_k", "input": "city", "by": "pv"}, {"name": "s", "agg": "reservoir_sample", "input": "user_id"}]
+    build_cube(spec(ms, includeGlobal=False, filterRules=[{"type": "top_level", "dim": "gender"}]), web).createOrReplaceTempView("cube")
+    r = spark.sql("SELECT kmv_estimate(kmv_merge(u__sketch)) AS u, topk_json(topk_merge(t__sketch)) AS t, sample_json(sample_merge(s__sketch)) AS s, max(hex(xunit_content_id(xunit))) AS i FROM cube WHERE xunit LIKE '/gender%' AND NOT contains(xunit, ',')").first()
+    assert r["u"] == 3.0 and r["t"] == '[{"key":"Brno","score":20.0},{"key":"Prague","score":10.0}]' and r["s"].count("u") == 3
+    assert r["i"].lower() == max(content_id(XUnit.parse(f"/gender/gender={g}")).hex() for g in "FM")
+    q = QuantileState(1.0, {1: 1, 4: 1})
+    spark.createDataFrame([(bytearray(AverageState(6.0, 4).to_bytes()), bytearray(q.to_bytes()))] * 2, "a binary, q binary").createOrReplaceTempView("states")
+    assert spark.sql("SELECT average_value(average_merge(a)), quantile_at(quantile_merge(q), 1.0) FROM states").first()[:] == (1.5, 4.5)
+    assert str(spark.sql("SELECT bucket_start(TIMESTAMP '2024-01-01 05:30:00', 3600000000, 0) AS b").first()["b"]) == "2024-01-01 05:00:00"
