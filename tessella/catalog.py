@@ -25,6 +25,8 @@ from .xunits import XUnit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table. Buckets and their SQL are in UTC, whatever the session's zone was."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
