@@ -197,127 +197,197 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, text: s
 
 # ---- links by similarity of shingles -----------------------------------------------------------------------------
 
-#: (Distinct fingerprints up to, blocks of an anchor, tables): bits sampled for anchors, three to a block.
-TABLES = [(1_000_000, 16, 24), (2**63, 20, 48)]
-#: Bits of the wide fingerprint that candidates may differ in; unrelated texts differ in 80 and more.
-WIDE, FAR = 256, 44
+#: Least hashes that documents of like shingles are first linked by.
+TABLES = 8
+#: Documents whose shingles are counted to find frequent ones, and in how many of these a frequent one is. They set the order of shingles only, not what is found.
+SAMPLE, FREQUENT = 20_000, 3
 
 
-def wide_fingerprint(text: str | None) -> bytes:
-    """256-bit SimHash of the set of lower-cased words."""
-    w = set(text.encode("utf-8", "surrogatepass").lower().split()) if text else ()
-    if not w:
-        return bytes(WIDE // 8)
-    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) + xxhash.xxh3_128_digest(x, 1) for x in w), np.uint8).reshape(-1, WIDE // 8)
-    total = np.zeros(WIDE, np.int64)
-    for at in range(0, len(h), 16384):
-        total += np.unpackbits(h[at : at + 16384], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(h), bitorder="little").tobytes()
-
-
-def _sampled(raw: np.ndarray, blocks: int, tables: int):
-    """For each table, every fingerprint's anchor (and eight blocks more, for crowded ones): the nearest codeword of a product of repetition codes over bits that the table samples."""
-    bits = np.unpackbits(raw, axis=1, bitorder="little")
-    for t in range(tables):
-        order = np.random.default_rng([20, t]).permutation(WIDE)[: 3 * (blocks + 8)]
-        major = bits[:, order].reshape(len(bits), blocks + 8, 3).sum(axis=2, dtype=np.int64) > 1
-        yield t, major[:, :blocks] @ (np.int64(1) << np.arange(blocks)), major[:, blocks:] @ (np.int64(1) << np.arange(8))
-
-
-def _candidates(fps: np.ndarray, ids: np.ndarray, group: np.ndarray):
-    """Of rows sorted by group and id: for each, the least and the nearest of the smaller ids of its group that lie within FAR bits."""
-    n = len(ids)
-    least, near, gap = np.full(n, -1), np.full(n, -1), np.full(n, WIDE + 1)
-    ahead = np.arange(n) - np.searchsorted(group, group)
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles; a text of fewer words is one shingle."""
+    digest = xxhash.xxh3_64_intdigest
+    w = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
+    joined, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w]).tolist()
+    begins = [0, *ends]
+    some = [digest(joined[begins[k] : ends[k + words - 1] - 1]) for k in range(len(w) - words + 1)] or [digest(joined)]
+    return np.unique(np.array(some, np.uint64))
+
+
+def _named(shingles: np.ndarray) -> int:
+    """Signed 64-bit name of a set of shingles."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), 1)).view(np.int64))
+
+
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that several documents of a sample hold, and how many."""
+
+    def run(batches):
+        for pdf in batches:
+            sets = [shingle_set(t, words) for t in pdf["t"].tolist()]
+            yield pd.DataFrame({"s": np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)})
+
+    n = docs.count()
+    share = max(1, -(-n // SAMPLE))
+    some = docs.where(F.pmod(F.xxhash64("i"), share) == 0).select("t").mapInPandas(run, "s bigint")
+    found = some.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(500_000).toPandas()
+    s, k = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], k[order]
+
+
+def _prefix(shingles: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles, rare ones first: two sets that are alike have their first common shingle among these of either."""
+    s, k = frequent
+    many = np.zeros(len(shingles), np.int64)
+    if len(s):
+        at = np.minimum(np.searchsorted(s, shingles), len(s) - 1)
+        many = np.where(s[at] == shingles, k[at], 0)
+    keep = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+    return shingles[np.lexsort((shingles, many))][:keep]
+
+
+def _meetings(group: np.ndarray, comp: np.ndarray, size: np.ndarray, place: np.ndarray, part: np.ndarray, apart: np.ndarray, similarity: float):
+    """Index pairs of rows (sorted by group) that may be alike: of one group and two components, of like sizes, and with enough shingles left behind the common one.
+
+    Where ``apart``, the rows are two pieces of a crowd and only rows of different pieces meet.
+    """
+    ahead = np.arange(len(group)) - np.searchsorted(group, group)
     left = np.flatnonzero(ahead)
     for lag in range(1, int(ahead.max(initial=0)) + 1):
         j = left = left[ahead[left] >= lag]
-        d = np.bitwise_count(fps[j] ^ fps[j - lag]).sum(axis=1)
-        ok = d <= FAR
-        j, d = j[ok], d[ok]
-        least[j] = j - lag  # lags grow, so the last one written is the least id
-        closer = d < gap[j]
-        near[j[closer]], gap[j[closer]] = j[closer] - lag, d[closer]
-    rows = np.flatnonzero(least >= 0)
-    return np.concatenate([ids[rows], ids[rows]]), np.concatenate([ids[least[rows]], ids[near[rows]]])
+        i = j - lag
+        x, y = size[i], size[j]
+        common = np.minimum(x - place[i], y - place[j])  # at most, if this is their first common shingle
+        ok = (comp[i] != comp[j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & ((1 + similarity) * common >= similarity * (x + y) - 1e-6)
+        ok &= ~apart[j] | (part[i] != part[j])
+        if ok.any():
+            yield i[ok], j[ok]
 
 
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) between doc_ids whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+    """Links (a, b) between doc_ids whose sets of word shingles have a Jaccard similarity of ``similarity`` or more: each a true one, and enough to join all that chains of such links join.
 
-    Candidates share an anchor in one of the tables of TABLES and differ in at most FAR bits of their wide fingerprints; each document is checked against
-    the least and the nearest of the smaller ids there, so a group of copies gives as many pairs as it has members. Then the
-    whole texts are compared exactly. Anchors are sampled: a link is found with a probability that rises with the similarity, and never a wrong one.
-    Texts of fewer words are one shingle. Null ids name no document; equal fingerprints are one candidate, the others are linked to the least id of theirs if they pass the same check.
+    Equal sets are one node, named by the least doc_id that holds it. Sets with a common least hash are first compared with the least, the one before and one at random,
+    so a group of copies gives as many pairs as it has members. Then every two sets of different components that share a shingle
+    of their prefixes (all but ``similarity`` of a set, and one more, rare shingles first) are compared, which no two alike can escape; the shingles of a crowd are cut into pieces that all meet.
+    Texts of fewer words are one shingle. Null ids name no document; a doc_id of several texts has the links of each.
     """
+    spark = docs.sparkSession
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
+    frequent = spark.sparkContext.broadcast(_frequent(texts, words))
+    odd = np.random.default_rng(20).integers(1, 2**63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def run(batches):
+    def describe(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["i"], "fp": [wide_fingerprint(t if isinstance(t, str) else None) for t in pdf["t"].tolist()]})
-
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).mapInPandas(run, "doc_id bigint, fp binary")
-    own = store(own, "wide")
-    distinct = store(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "wide-distinct")
-    n = distinct.count()
-    blocks, tables = next((b, t) for most, b, t in TABLES if n <= most)
-
-    def spread(batches):
+            sets = [shingle_set(t, words) for t in pdf["t"].tolist()]
+            least = [np.array([(s * m).min() for m in odd]).tobytes() for s in sets]
+            yield pd.DataFrame({"doc_id": pdf["i"], "node": [_named(s) for s in sets], "size": [len(s) for s in sets], "least": least, "prefix": [_prefix(s, similarity, frequent.value).tobytes() for s in sets]})
+
+    own = store(texts.mapInPandas(describe, "doc_id bigint, node bigint, size bigint, least binary, prefix binary"), "sets")
+    nodes = store(own.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    sets = own.join(nodes, ["node", "doc_id"]).dropDuplicates(["node"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b: nodes) that are alike."""
+        asked = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+        holders = store(nodes.join(asked, "node").select("doc_id", F.lit(0).alias("th")).distinct(), "holders")
+
+        def shingled(batches):
+            for pdf in batches:
+                found = [shingle_set(t, words) for t in pdf["t"].tolist()]
+                yield pd.DataFrame({"node": [_named(s) for s in found], "shingles": [s.tobytes() for s in found]})
+
+        again = split_by(texts.withColumn("_z", F.lit(0)), holders, "i", "_z")[0].select("t").mapInPandas(shingled, "node bigint, shingles binary")
+        known = store(again.join(asked, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+        both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+
+        def check(batches):
+            for pdf in batches:
+                ok = []
+                for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(common >= similarity * (len(x) + len(y) - common))
+                yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+
+        return store(both.select("a", "b", "x", "y").mapInPandas(check, "a bigint, b bigint"), "alike")
+
+    # first links, linear in the members of a group
+    def by_least(batches):
         for pdf in batches:
-            ids, raws = pdf["doc_id"].to_numpy(np.int64), pdf["fp"].tolist()
-            for at in range(0, len(ids), 2000):
-                raw = np.frombuffer(b"".join(raws[at : at + 2000]), np.uint8).reshape(-1, WIDE // 8)
-                for t, anchor, more in _sampled(raw, blocks, tables):
-                    yield pd.DataFrame({"anchor": anchor * tables + t, "more": more, "doc_id": ids[at : at + 2000], "fp": raws[at : at + 2000]})
-
-    homes = distinct.mapInPandas(spread, "anchor bigint, more bigint, doc_id bigint, fp binary")
-    crowd = store(homes.groupBy("anchor").count().where(F.col("count") > PIECE).select("anchor", F.lit(True).alias("crowded")), "crowd") if n > PIECE else None
-    few = crowd.count() if crowd is not None else 0
-    if few:
-        homes = homes.join(F.broadcast(crowd) if few <= 10_000 else crowd, "anchor", "left").withColumn("more", F.when(F.col("crowded"), F.col("more")).otherwise(0))
-    else:
-        homes = homes.withColumn("more", F.lit(0).cast("long"))
-    keys = ["anchor", "more"]
+            for t in range(TABLES):
+                least = np.array([np.frombuffer(x, np.int64)[t] for x in pdf["least"].tolist()], np.int64)
+                yield pd.DataFrame({"table": t, "least": least, "node": pdf["node"], "doc_id": pdf["doc_id"], "size": pdf["size"]})
+
+    spread = store(sets.select("node", "doc_id", "size", "least").mapInPandas(by_least, "table int, least bigint, node bigint, doc_id bigint, size bigint"), "least")
+    shared = spread.groupBy("table", "least").agg(F.min(F.struct("doc_id", "node", "size")).alias("low"), F.count("*").alias("n")).where("n > 1")
+    met = store(spread.join(shared, ["table", "least"]), "met")
+    # neighbours in order of ids and in an order by chance: members of a crowd are dealt to groups of a bounded size
+    dealt = met.withColumn("g", F.pmod(F.xxhash64("doc_id", "table"), F.ceil(F.col("n") / 1000))).drop("low", "n")
+
+    def neighbours(batches):
+        for pdf in whole_groups(batches, ["table", "least", "g"]):
+            key = np.unique(np.stack([pdf["table"].to_numpy(np.int64), pdf["least"].to_numpy(np.int64), pdf["g"].to_numpy(np.int64)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+            ids, node, size = (pdf[k].to_numpy(np.int64) for k in ("doc_id", "node", "size"))
+            a, b = [], []
+            for by in (ids, (ids * np.int64(-7046029254386353131)) ^ key):
+                order = np.lexsort((by, key))
+                i, j = order[:-1], order[1:]
+                ok = (key[i] == key[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+                a.append(node[i[ok]])
+                b.append(node[j[ok]])
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    keys = ["table", "least", "g"]
+    near = dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(neighbours, "a bigint, b bigint")
+    hub = met.where((F.col("node") != F.col("low.node")) & (F.least("size", "low.size") >= similarity * F.greatest("size", "low.size"))).select(F.col("node").alias("a"), F.col("low.node").alias("b"))
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    first = verified(store(ordered(near.unionByName(hub)), "pairs"))
+    comps = components(first).select("node", F.col("root").alias("comp"))
+
+    # every other pair
+    with_comp = store(sets.select("node", "size", "prefix").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "prefixes")
+
+    def explode(batches):
+        for pdf in batches:
+            rows = pdf["prefix"].tolist()
+            for at in range(0, len(rows), 500):
+                some = [np.frombuffer(x, np.int64) for x in rows[at : at + 500]]
+                n, here = [len(x) for x in some], pdf.iloc[at : at + 500]
+                yield pd.DataFrame(
+                    {"s": np.concatenate(some), "node": np.repeat(here["node"].to_numpy(), n), "comp": np.repeat(here["comp"].to_numpy(), n), "size": np.repeat(here["size"].to_numpy(), n), "place": np.concatenate([np.arange(x) for x in n])}
+                )
+
+    postings = with_comp.mapInPandas(explode, "s bigint, node bigint, comp bigint, size bigint, place bigint")
+    several = postings.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
+    piece = max(2, PIECE // 4)
+    live = store(several.select("s", F.ceil(F.col("n") / piece).cast("int").alias("k")), "live")
+    some = split_by(postings.withColumn("_z", F.lit(0)), live.select(F.col("s").alias("doc_id"), F.lit(0).alias("th")), "s", "_z")[0].drop("_z").join(live, "s")
+    some = some.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    some = some.withColumns({"g": F.least("part", "q"), "h": F.greatest("part", "q")}).drop("q", "k")
+    crowd_keys = ["s", "g", "h"]
 
     def pair(batches):
-        for pdf in whole_groups(batches, keys):
-            group = np.unique(pdf["anchor"].to_numpy(np.int64) * 256 + pdf["more"].to_numpy(np.int64), return_inverse=True)[1]
-            ids = pdf["doc_id"].to_numpy(np.int64)
-            order = np.lexsort((ids, group))
-            fps = np.frombuffer(b"".join(pdf["fp"].tolist()), "<u8").reshape(-1, WIDE // 64)[order]
-            a, b = _candidates(fps, ids[order], group[order])
-            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = homes.select(*keys, "doc_id", "fp").repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(pair, "a bigint, b bigint")
-    same = own.join(distinct.select("fp", F.col("doc_id").alias("b")), "fp").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    pairs = store(found.unionByName(same).distinct(), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("th", F.lit(0))
-    named = store(named, "named")
-
-    def shingled(batches):
-        digest = xxhash.xxh3_64_intdigest
-        for pdf in batches:
-            out = []
-            for t in pdf["t"].tolist():
-                w = t.encode("utf-8", "surrogatepass").lower().split() if isinstance(t, str) else []
-                joined, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w]).tolist()
-                begins = [0, *ends]
-                some = [digest(joined[begins[k] : ends[k + words - 1] - 1]) for k in range(len(w) - words + 1)] or [digest(joined)]
-                out.append(np.unique(np.array(some, np.uint64)).tobytes())
-            yield pd.DataFrame({"doc_id": pdf["i"], "shingles": out})
-
-    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.lit(0).alias("_z"))
-    asked = split_by(keyed, named, "doc_id", "_z")[0].select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
-    sets = store(asked.mapInPandas(shingled, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"]), "shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def check(batches):
-        for pdf in batches:
-            ok = []
-            for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common >= similarity * (len(x) + len(y) - common))
-            yield pdf.loc[ok, ["a", "b"]]
-
-    return both.select("a", "b", "x", "y").mapInPandas(check, "a bigint, b bigint")
+        for pdf in whole_groups(batches, crowd_keys):
+            v = {k: pdf[k].to_numpy(np.int64) for k in pdf.columns}
+            change = (v["s"][1:] != v["s"][:-1]) | (v["g"][1:] != v["g"][:-1]) | (v["h"][1:] != v["h"][:-1])
+            group = np.concatenate([[0], np.cumsum(change)])
+            a, b, held = [], [], 0
+            for i, j in _meetings(group, v["comp"], v["size"], v["place"], v["part"], v["g"] != v["h"], similarity):
+                a.append(v["node"][i])
+                b.append(v["node"][j])
+                held += len(i)
+                if held > 500_000:
+                    yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+                    a, b, held = [], [], 0
+            if a:
+                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+    found = some.repartition(parts, *crowd_keys).sortWithinPartitions(*crowd_keys).mapInPandas(pair, "a bigint, b bigint")
+    second = verified(store(ordered(found), "pairs"))
+
+    names = lambda k: nodes.select(F.col("node").alias(k), F.col("doc_id").alias(f"{k}_id"))
+    links = first.unionByName(second).join(names("a"), "a").join(names("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    same = own.join(nodes.withColumnRenamed("doc_id", "b"), "node").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    return links.unionByName(same).where("a <> b")

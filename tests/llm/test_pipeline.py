@@ -100,3 +100,47 @@ def test_similar_links(documents, no_documents, with_clashes, odd, monkeypatch):
         want = {b for b in ids if any(a < b and alike(a, b) for a in ids)}
         assert linked <= want and len(want - linked) <= 0.05 * len(want)
     assert S.similar_links(no_documents).count() == 0 and {tuple(sorted(r)) for r in S.similar_links(odd).collect()} >= {(5, 6), (4, 9), (1, 2)}
+
+
+def alike_by_hand(rows, k=5):
+    """All pairs of ids whose sets of k-word shingles are 0.8 alike."""
+    sets = []
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.append((i, {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}))
+    return {tuple(sorted((a, b))) for n, (a, x) in enumerate(sets) for b, y in sets[:n] if len(x & y) >= 0.8 * len(x | y)}
+
+
+def joined(ids, links):
+    """The least id that chains of links reach, of each id."""
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def similar_by(documents, rows):
+    from tessella.llm.simhash_anchors import similar_links
+
+    links = {tuple(sorted(r)) for r in similar_links(documents(rows)).collect()}
+    want = alike_by_hand(rows)
+    assert links <= want
+    ids = [i for i, _ in rows]
+    assert joined(ids, links) == joined(ids, want)
+
+
+def test_similar_links_of_copies_with_a_passage_added(documents):
+    """Pairs of a Jaccard similarity just over 0.8 that differ in one block of words the other has none of."""
+    rng, rows = np.random.default_rng(4), []
+    for k in range(120):
+        base = [f"b{k}x{i}" for i in range(int(rng.integers(200, 500)))]
+        more = [f"n{k}x{i}" for i in range(int(0.235 * len(base)))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + more))]
+    similar_by(documents, rows)
