@@ -144,3 +144,15 @@ def test_similar_links_of_copies_with_a_passage_added(documents):
         more = [f"n{k}x{i}" for i in range(int(0.235 * len(base)))]
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + more))]
     similar_by(documents, rows)
+
+
+def test_similar_links_in_a_crowd(documents, monkeypatch):
+    """Pairs of 0.82 among texts that share most of their words but are 0.7 alike: pieces of a crowd all meet."""
+    from tessella.llm import simhash_anchors as S
+
+    rows, base = [], [f"t{i}" for i in range(300)]
+    for k in range(40):
+        for c in range(2):
+            rows.append((2 * k + c, " ".join(base + [f"p{k}x{i}" for i in range(60)] + [f"o{k}x{c}x{i}" for i in range(36)])))
+    monkeypatch.setattr(S, "PIECE", 8)
+    similar_by(documents, rows)
