@@ -156,3 +156,15 @@ def test_similar_links_in_a_crowd(documents, monkeypatch):
             rows.append((2 * k + c, " ".join(base + [f"p{k}x{i}" for i in range(60)] + [f"o{k}x{c}x{i}" for i in range(36)])))
     monkeypatch.setattr(S, "PIECE", 8)
     similar_by(documents, rows)
+
+
+def test_similar_links_of_texts_with_equal_words(documents):
+    """The least id has the same words in another order, so it is like neither of two that are alike."""
+    rng, rows = np.random.default_rng(6), []
+    for k in range(10):
+        q = [[f"q{k}s{s}w{i}" for i in range(20)] for s in range(30)]
+        text = lambda x: " ".join(w for s in x for w in s)
+        mixed = [w for s in q for w in s]
+        rng.shuffle(mixed)
+        rows += [(3 * k, " ".join(mixed)), (3 * k + 1, text(q)), (3 * k + 2, text([q[1], q[0], *q[2:]]))]
+    similar_by(documents, rows)
