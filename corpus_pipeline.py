@@ -22,12 +22,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep(docs.select(*COLUMNS), train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` with one of the rows that share doc_id and text; only rows of repeated doc_ids are moved."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id", F.xxhash64("text").alias("th")).count().where("count > 1")
+    again = store(again.select("doc_id", "th"), "again")
+    some, others = split_by(docs.withColumn("_th", F.xxhash64("text")), again, "doc_id", "_th")
+    # a null doc_id is never among the keys, but its row may pass their filter
+    return some.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(others).unionByName(some.where("doc_id IS NULL")).select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the least doc_id stays: groups by links of fingerprints, and of 5-word shingles that are 0.8 alike. Rows without a doc_id stay."""
+    """Of each group of near-duplicates, the document of the least doc_id stays: groups by links of fingerprints, and of 5-word shingles that are 0.8 alike. Of rows that share doc_id and text one stays; rows of one doc_id and different texts are one document. Rows without a doc_id stay."""
     from tessella.llm.common import components
     from tessella.llm.simhash_anchors import near_duplicates, similar_links
 
     small_batches(spark)
+    docs = _once(docs.select(*COLUMNS))
     links = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     found = components(links.unionByName(similar_links(docs)))
     gone = store(found.where("node <> root").select(F.col("node").alias("doc_id"), F.lit(0).alias("th")).distinct(), "gone")

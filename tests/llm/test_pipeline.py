@@ -168,3 +168,10 @@ def test_similar_links_of_texts_with_equal_words(documents):
         rng.shuffle(mixed)
         rows += [(3 * k, " ".join(mixed)), (3 * k + 1, text(q)), (3 * k + 2, text([q[1], q[0], *q[2:]]))]
     similar_by(documents, rows)
+
+
+def test_near_dedup_keeps_one_of_repeated_rows(spark, documents):
+    rows = [(1, "one text that is repeated"), (1, "one text that is repeated"), (2, "two"), (2, "two"), (2, "another text of the id"), (3, None), (3, None), (None, "no id"), (None, "no id"), (4, "alone among them all here")]
+    got = [(r["doc_id"], r["text"]) for r in cp.near_dedup(spark, documents(rows), SF).collect()]
+    want = [(1, "one text that is repeated"), (2, "another text of the id"), (2, "two"), (3, None), (4, "alone among them all here"), (None, "no id"), (None, "no id")]
+    assert sorted(got, key=str) == sorted(want, key=str)
