@@ -314,3 +314,55 @@ def test_proximity(documents):
     assert near == {(1, 1), (1, 2), (2, 1), (2, 2)}
 
 
+FULL_NOTICES = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+}
+FULL_NOTICES["BSD-3-Clause"] = FULL_NOTICES["BSD-2-Clause"] + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_full_license_notices(documents):
+    names = list(FULL_NOTICES)
+    rows = [(i, FULL_NOTICES[n]) for i, n in enumerate(names)] + [(10 + i, "/*\r\n * " + FULL_NOTICES[n].replace("\n", "\r\n * ") + "\r\n */") for i, n in enumerate(names)]
+    rows += [(20, "released under\n\nthe MIT license"), (21, "All rights.\nreserved")]
+    got = {r["doc_id"]: (r["licenses"], r["leftover_ids"]) for r in license_scan.scan_licenses(documents(rows)).collect()}
+    assert all(got[i + k] == ([n], []) for i, n in enumerate(names) for k in (0, 10)) and got[20] == got[21] == ([], [])
