@@ -23,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for columns of an operator's own that differ from all ``taken`` ones, whatever their case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        made = f"__{name}"
+        while made.lower() in used:
+            made += "_"
+        used.add(made.lower())
+        out.append(made)
+    return out
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs a read."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -108,10 +120,11 @@ def split_by(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", th: str =
     cell, bit = lambda h: F.pmod(h, F.lit(FILTER_CELLS)), lambda h: F.shiftrightunsigned(h, 48).bitwiseAND(F.lit(63)).cast("int")
     h = F.xxhash64("doc_id", "th")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit(h))
-    cells = store(keys.groupBy(cell(h).alias("_cell")).agg(F.bit_or(mask).alias("_bits")), "filter")
+    at, where, bits = fresh(docs.columns, "at", "cell", "bits")
+    cells = store(keys.groupBy(cell(h).alias(where)).agg(F.bit_or(mask).alias(bits)), "filter")
     own = F.xxhash64(doc_id, th)
-    marked = docs.withColumn("_at", cell(own)).join(F.broadcast(cells), F.col("_at") == F.col("_cell"), "left")
-    hit = F.coalesce(F.call_function("shiftright", F.col("_bits"), bit(own)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    marked = docs.withColumn(at, cell(own)).join(F.broadcast(cells), F.col(at) == F.col(where), "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col(bits), bit(own)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
     return marked.where(hit).select(*docs.columns), marked.where(~hit).select(*docs.columns)
 
 

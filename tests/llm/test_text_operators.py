@@ -102,16 +102,33 @@ def test_bpe_odd_texts(codecs):
 
 def test_forced_cuts_change_nothing(codecs):
     own, _, _ = codecs
-    for word in (b"thqzx", b"internationalization", "naïveté".encode(), b"qqqqzzzz", b"a"):
-        ids = [own.single[b] for b in word[:-1]] + [own.single[word[-1] + 256]]
-        assert np.frombuffer(own._word(word), "<u4").tolist() == own._short(list(ids)) == own._long(list(ids))
+    words = [b"thqzx", b"internationalization", "naïveté".encode(), b"qqqqzzzz", b"a", b"abcabcabc" * 30, b"aaaaaaaaaaaaa"]
+    whole = [own._long([own.single[b] for b in w[:-1]] + [own.single[w[-1] + 256]]) for w in words]
+    got, decoded = own.encode_words([w.decode() for w in words])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == whole
+    assert [d.decode() for d in decoded] == [own.decode(g) for g in got]
     assert own.cuts(b"qzqz") and not own.cuts(b"the")
 
 
+def test_bpe_forgets_and_encodes_anew(codecs, monkeypatch):
+    from tessella.llm import bpe
+
+    own, lib, path = codecs
+    small = Codec(open(path).read())
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "LONG", 3)
+    texts = ["the river ran over stones", "the river 東京 ran <|endoftext|> far", None, "x" * 300 + " over", "", "ran over the internationalization"] * 3
+    for some in (texts[:4], texts[4:7], texts[7:], texts):
+        for t, (ids, decoded) in zip(some, small.encode_texts(some), strict=True):
+            want = lib.encode(t or "", add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want and decoded == lib.decode(want, skip_special_tokens=False)
+    assert len(small.memory.young[0]) <= 20 and not any(len(w) > 64 for w in small.memory.young[0])
+
+
 def test_bpe_over_tables(codecs, odd, no_documents, with_clashes):
     own, lib, path = codecs
-    got = encode(with_clashes(odd, "token_ids", "other"), path).collect()
-    assert len(got) == odd.count() and {r["other"] for r in got} == {"mine"}
+    got = encode(with_clashes(odd, "token_ids", "other", "_t", "__text", "words"), path).collect()
+    assert len(got) == odd.count() and {(r["other"], r["_t"], r["__text"], r["words"]) for r in got} == {("mine",) * 4}
     for r in got:
         assert np.frombuffer(bytes(r["token_ids"]), "<u4").tolist() == lib.encode(r["text"] or "", add_special_tokens=False).ids
     assert encode(no_documents, path).count() == 0 and "decoded" not in encode(odd, path, decode=False).columns
