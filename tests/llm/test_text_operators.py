@@ -256,7 +256,7 @@ def test_substrings(documents, odd, no_documents, with_clashes):
     rows = [(k, " ".join([" ".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 90)))), pas[k % 3], " ".join(rng.choice(list("ab"), int(rng.integers(0, 60))))])) for k in range(40, 10, -1)]
     rows += [(1, same_word), (2, "y " + same_word), (3, "x " * 49), (50, pas[0] + "\n" + pas[1]), (51, pas[0]), (51, pas[1]), (51, pas[0]), (None, pas[2]), (60, None), (61, "")]
     for span in (50, 12):
-        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_text"]) for r in dedup_substrings(with_clashes(documents(rows), "n_words", "m", "ranges", "spans"), span).collect())
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_text"]) for r in dedup_substrings(with_clashes(documents(rows), "n_words", "m", "ranges", "spans", "_th", "_id", "__th", "_cell", "__cell", "__ranges"), span).collect())
         assert got == sorted((i is None, i or 0, n, g, k) for i, n, g, k in cut_by_hand(rows, span))
     got = dedup_substrings(odd).collect()
     assert len(got) == odd.count() and sum(r["n_removed"] for r in got) == 30_000 and {r["spans"][1] for r in got if r["spans"]} == {30_000}
