@@ -13,7 +13,7 @@ from .common import store
 
 #: A splitter may miss its target by this part of a shard.
 TOLERANCE = 0.01
-#: Rows that one task sorts, about; a shard is sorted in so many ranges, up to MAX_RANGES in all.
+#: Rows that one task sorts, about; a shard is sorted in so many ranges, up to MAX_RANGES in all: beyond 6 million rows, ranges grow instead (sorting spills to disk).
 RANGE_ROWS, MAX_RANGES = 1500, 4096
 #: Keys that a task proposes for an open interval, and probes of an interval and round.
 PROPOSED, PROBES = 8, 64
@@ -51,7 +51,10 @@ def count_below(keyed: DataFrame, probes: list[bytes]) -> list[tuple[int, int]]:
 
 
 def propose(keyed: DataFrame, gaps: list[tuple[bytes, bytes | None]]) -> list[list[bytes]]:
-    """For each interval, keys in it, evenly spaced in each task: starts of groups of equal texts, or rows where it holds one group only."""
+    """For each interval, at most PROBES keys in it: starts of groups of equal texts, or rows where it holds one group only.
+
+    Tasks offer evenly spaced keys; one offer in each of PROBES slots, taken by a hash of the key, reaches the driver.
+    """
     lows, highs = [g[0] for g in gaps], [g[1] for g in gaps]
 
     def pick(batches):
@@ -67,7 +70,9 @@ def propose(keyed: DataFrame, gaps: list[tuple[bytes, bytes | None]]) -> list[li
         yield pd.DataFrame(rows, columns=["gap", "key"])
 
     out = [[] for _ in gaps]
-    for r in keyed.select("key").mapInPandas(pick, "gap int, key binary").distinct().collect():
+    offers = keyed.select("key").mapInPandas(pick, "gap int, key binary")
+    slot = F.pmod(F.xxhash64("key"), F.lit(PROBES))
+    for r in offers.groupBy("gap", slot.alias("slot")).agg(F.min_by("key", F.xxhash64("key", F.lit(1))).alias("key")).collect():
         out[r["gap"]].append(bytes(r["key"]))
     for i, (lo, hi) in enumerate(gaps):
         starts = {k[:8].ljust(24, b"\0") for k in out[i]}
