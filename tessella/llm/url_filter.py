@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, fresh
 
 #: The list of the production query, as (host, path prefix, verdict).
 RULES = [
@@ -16,10 +16,10 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-#: A list of at most this many rows is broadcast to the exact join; a longer one is shuffled.
-BROADCAST_RULES = 100_000
-#: The filter is a literal of the plan: at most this many 64-bit blocks (32 KB).
-MAX_BLOCKS = 4096
+#: A list of at most this many bytes is broadcast to the exact join; a longer one is shuffled.
+BROADCAST_BYTES = 8_000_000
+#: Up to this many 64-bit blocks the filter is a literal of the plan (32 KB); up to MAX_BLOCKS (4 million rules) a table that is broadcast, beyond one that is shuffled.
+LITERAL_BLOCKS, MAX_BLOCKS = 4096, 1 << 20
 
 
 def url_parts(url):
@@ -54,19 +54,26 @@ def _mask(key):
 def _blocks_for(rows: int) -> int:
     """A power of two, of about 16 bits a row."""
     blocks = 1
-    while blocks < MAX_BLOCKS and blocks * 64 < rows * 16:
+    while blocks * 64 < rows * 16:
         blocks *= 2
     return blocks
 
 
-def bloom_blocks(keys: DataFrame, rows: int) -> list[int]:
-    """The filter's 64-bit blocks over column ``key``: or-ed in Spark, so at most MAX_BLOCKS numbers reach the driver."""
-    blocks = _blocks_for(rows)
-    found = keys.groupBy(_block(F.col("key"), blocks).alias("at")).agg(F.bit_or(_mask(F.col("key"))).alias("bits")).collect()
-    out = [0] * blocks
-    for r in found:
-        out[r["at"]] = r["bits"]
-    return out
+def bloom_table(keys: DataFrame, blocks: int) -> DataFrame:
+    """(block, bits): the filter's 64-bit blocks over column ``key``, where any bit is set."""
+    return keys.groupBy(_block(F.col("key"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("bits"))
+
+
+def may_hit(probes: DataFrame, keys: DataFrame, rows: int) -> DataFrame:
+    """Those of ``probes`` whose ``key`` may be one of ``keys`` (``rows`` of them)."""
+    blocks, mask = _blocks_for(rows), _mask(F.col("key"))
+    table = bloom_table(keys, blocks)
+    if blocks <= LITERAL_BLOCKS:
+        bits = dict.fromkeys(range(blocks), 0) | {r["block"]: r["bits"] for r in table.collect()}
+        literal = F.array(*[F.lit(bits[k]).cast("long") for k in range(blocks)])
+        return probes.where(F.element_at(literal, _block(F.col("key"), blocks) + 1).bitwiseAND(mask) == mask)
+    table = F.broadcast(table) if blocks <= MAX_BLOCKS else table
+    return probes.withColumn("block", _block(F.col("key"), blocks)).join(table, "block").where(F.col("bits").bitwiseAND(mask) == mask).drop("block", "bits")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -84,12 +91,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL").select(
         ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")
     ).withColumn("key", F.concat_ws("\n", "r_host", "r_path"))
-    sizes = rules.groupBy(F.size(F.split("r_host", r"\.")).alias("labels"), F.length("r_path").alias("chars")).count().collect()
-    n = sum(r["count"] for r in sizes)
+    size = F.sum(F.octet_length("key") + F.octet_length(F.coalesce("r_verdict", F.lit(""))) + 32)
+    sizes = rules.groupBy(F.size(F.split("r_host", r"\.")).alias("labels"), F.length("r_path").alias("chars")).agg(F.count("*").alias("count"), size.alias("bytes")).collect()
+    n, listed_bytes = sum(r["count"] for r in sizes), sum(r["bytes"] for r in sizes)
     host, path = url_parts(F.col("u"))
     urls = pages.select(F.col(url).alias("u")).where("u IS NOT NULL").distinct()
     parts = urls.select("u", host.alias("h"), path.alias("p")).withColumn("l", F.split("h", r"\."))
-    blocks = F.array(*[F.lit(x).cast("long") for x in bloom_blocks(rules, n)])
     keys = [
         F.when(
             (F.size("l") >= r["labels"]) & (F.length("p") >= r["chars"]),
@@ -98,16 +105,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         for r in sizes
     ] or [F.lit(None).cast("string")]
     probes = parts.select("u", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
-    mask = _mask(F.col("key"))
-    hits = probes.where(F.element_at(blocks, _block(F.col("key"), _blocks_for(n)) + 1).bitwiseAND(mask) == mask)
-    listed = F.broadcast(rules) if n <= BROADCAST_RULES else rules
+    hits = may_hit(probes, rules, n)
+    listed = F.broadcast(rules) if listed_bytes <= BROADCAST_BYTES else rules
     best = hits.join(listed, "key").groupBy("u").agg(
         F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("m"), F.when(F.col("r_verdict") == "allow", 1).otherwise(0).alias("a"), "r_host", "r_path", "r_verdict")).alias("best")
     )
     host, path = url_parts(F.col(url))
     own = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    return own.join(best, own[url] == best["u"], "left").select(
-        *[own[c] for c in own.columns],
-        F.concat("best.r_host", "best.r_path").alias("rule"),
-        F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"),
+    asked, found = fresh(own.columns, "url", "best")
+    return own.join(best.select(F.col("u").alias(asked), F.col("best").alias(found)), F.col(url) == F.col(asked), "left").select(
+        *own.columns,
+        F.concat(f"{found}.r_host", f"{found}.r_path").alias("rule"),
+        F.coalesce(f"{found}.r_verdict", F.lit(default)).alias("verdict"),
     )
