@@ -49,25 +49,33 @@ def by_hand(url):
 def test_urls(spark, with_clashes):
     pages = spark.createDataFrame(list(enumerate(URLS)) + [(0, URLS[0]), (99, URLS[0])], "page_id long, url string")
     rules = url_filter.rules_table(spark)
-    got = url_filter.judge_urls(with_clashes(pages, "host", "verdict", "u", "key"), rules).collect()
+    got = url_filter.judge_urls(with_clashes(pages, "host", "verdict", "u", "key", "best", "bits", "__best", "r_host"), rules).collect()
     assert len(got) == len(URLS) + 2
     for r in got:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == by_hand(r["url"]), r["url"]
-    assert {r["u"] for r in got} == {"mine"}
+    assert {(r["u"], r["best"], r["__best"]) for r in got} == {("mine",) * 3}
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
     none = url_filter.judge_urls(pages, rules.limit(0))
     assert none.where("rule IS NULL AND verdict = 'allow'").count() == len(got)
     assert url_filter.judge_urls(pages, rules.unionByName(spark.createDataFrame([(None, "/", "block"), ("com", None, "block")], rules.schema))).where("rule = 'com/'").count() > 0
 
 
-def test_the_filter_drops_most_and_loses_none(spark):
+@pytest.mark.parametrize("literal,most", [(4096, 1 << 20), (1, 1 << 20), (1, 1)])
+def test_the_filter_drops_most_and_loses_none(spark, monkeypatch, literal, most):
+    monkeypatch.setattr(url_filter, "LITERAL_BLOCKS", literal)
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", most)
     listed = spark.range(2000).select(F.concat(F.lit("h"), F.col("id"), F.lit("\n/")).alias("key"))
-    blocks = url_filter.bloom_blocks(listed, 2000)
-    cells = F.array(*[F.lit(b).cast("long") for b in blocks])
-    mask = url_filter._mask(F.col("key"))
-    passes = F.element_at(cells, url_filter._block(F.col("key"), len(blocks)) + 1).bitwiseAND(mask) == mask
-    assert listed.where(passes).count() == 2000
-    assert spark.range(5000).select(F.concat(F.lit("z"), "id").alias("key")).where(passes).count() < 500
+    assert url_filter.may_hit(listed, listed, 2000).count() == 2000
+    assert url_filter.may_hit(spark.range(5000).select(F.concat(F.lit("z"), "id").alias("key")), listed, 2000).count() < 500
+
+
+def test_a_long_list_is_judged_alike(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "LITERAL_BLOCKS", 1)
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    more = [(f"h{i}.org", f"/{'p' * (i % 4)}", "block") for i in range(500)]
+    got = url_filter.judge_urls(pages, url_filter.rules_table(spark, [*url_filter.RULES, *more])).collect()
+    assert len(got) == len(URLS) and all((r["host"], r["path"], r["rule"], r["verdict"]) == by_hand(r["url"]) for r in got)
 
 
 # ---- byte pairs --------------------------------------------------------------------------------------------------
@@ -279,6 +287,11 @@ def test_shards(spark, documents, odd, no_documents, with_clashes):
     mean = sum(size.values()) / 16
     assert len(got) == len(rows) and len(size) == 16 and max(size.values()) < 1.05 * mean and min(size.values()) > 0.95 * mean
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    groups = {}
+    for r in got:
+        groups.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    weight = Counter(t for _, t in rows)
+    assert all(weight[t] * (len(t) + 1) > 0.02 * mean for t, s in groups.items() if len(s) > 1)  # a border on either side of it would miss by over 1 %
     again = shard_by_bytes(odd).collect()
     assert len(again) == odd.count() and {r["size"] for r in again if r["doc_id"] == 1} == {1}
     one = shard_by_bytes(documents([(7, "same")] * 60)).collect()
@@ -313,9 +326,9 @@ def test_contamination(spark, documents, odd, no_documents, with_clashes, monkey
     items = [(1, gen(30)), (2, "Short Item"), (3, None), (4, "!!!"), (None, gen(20)), (1, gen(15)), (10, gen(13)), (11, "the of")]
     rows = [(k, gen(40) + ", " + (items[0][1] if k % 4 == 0 else items[6][1].replace(" ", "-") if k % 4 == 1 else "short-ITEM!" if k % 4 == 2 else "") + " " + gen(30)) for k in range(24)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size, block in ((3_000_000, 1_000_000), (150, 20)):
+    for size, block in ((3_000_000, 8_000_000), (150, 60)):
         monkeypatch.setattr(P, "SEGMENT_WORDS", size)
-        monkeypatch.setattr(P, "BLOCK_WORDS", block)
+        monkeypatch.setattr(P, "BLOCK_BYTES", block)
         got = {r["doc_id"]: r for r in contamination(with_clashes(documents(rows), "n_words", "terms"), bench).collect()}
         for i, t in rows:
             n, h, ids = hits_by_hand(t, items)
