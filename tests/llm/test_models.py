@@ -86,44 +86,121 @@ def test_labels_of_held_out_rows_are_not_learnt(spark, documents):
 # ---- language model --------------------------------------------------------------------------------------------------
 
 
-def test_seating_keeps_its_customers():
-    rng = np.random.default_rng(1)
-    count = np.array([1, 2, 5, 400, 30_000, 1])
-    s = py.Seating([0, 0, 0, 0, 0, 1], count, np.full(6, 1 / 6), 0.6)
-    s.start(rng)
-    for _ in range(20):
-        s.sweep(rng)
-        assert (np.bincount(s.dish, s.size * s.mult, minlength=6) == count).all() and (s.mult > 0).all() and (s.size > 0).all()
-        t = s.tables()
-        assert (t >= 1).all() and (t <= count).all()
-
-
-def test_gibbs_agrees_with_the_exact_posterior():
-    """Tables of one dish of three customers, alone in its restaurant: weights of the seatings, written out."""
-    d, a, h = 0.5, 1.0, 0.3
-    one, two, three = (1 - d) * (2 - d) * h, 3 * (1 - d) * (a + d) * h * h, (a + d) * (a + 2 * d) * h**3
-    want = (one + 2 * two + 3 * three) / (one + two + three)
-    n = 20_000
-    s = py.Seating(np.arange(n), np.full(n, 3), np.full(n, h), d, a)
-    rng = np.random.default_rng(2)
-    s.start(rng)
-    for _ in range(10):
-        s.sweep(rng)
-    assert abs(s.tables().mean() - want) < 0.02
-
-
-def test_predictive_probabilities_add_up(spark):
-    pairs = spark.createDataFrame([(0, 1, 7), (0, 2, 1), (1, 0, 3), (2, 3, 2), (3, 0, 50), (3, 3, 1)], "context int, dish int, c long")
-    table = py.predictive(pairs, np.array([53.0, 7, 1, 3, 0]))
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4) and table[3, 0] > math.log10(0.7) and table[4].max() < 0
-    rare = py.rare_predictive(spark.createDataFrame([("a", 1), ("b", 1), ("c", 4)], "word string, c long"))
-    assert abs(2 * 10 ** rare[1] + 10 ** rare[4] + 10 ** rare[0] - 1) < 1e-9
-    assert py.rare_predictive(spark.createDataFrame([], "word string, c long")) == {0: 0.0}
+def tables_by_hand(c, prior, others, d, a):
+    """Probabilities of 1 to c tables, from the recursion of generalised Stirling numbers."""
+    row = [-math.inf, 0.0]
+    for n in range(1, c):
+        row.append(-math.inf)
+        row = [-math.inf] + [np.logaddexp(row[t - 1], row[t] + math.log(n - t * d) if n - t * d > 0 else -math.inf) for t in range(1, n + 2)]
+    w = np.array([row[t] + sum(math.log((a + d * (others + i)) * prior) for i in range(t)) for t in range(1, c + 1)])
+    p = np.exp(w - w.max())
+    return p / p.sum()
+
+
+@pytest.mark.parametrize("c,prior,others", [(3, 0.3, 0), (20, 0.05, 10), (90, 0.2, 300), (500, 0.01, 200), (2000, 0.01, 500), (400, 0.5, 400)])
+def test_tables_follow_their_exact_conditional(c, prior, others):
+    d, a, n = 0.7, 1.0, 3000
+    want = tables_by_hand(c, prior, others, d, a)
+    mean = float((want * np.arange(1, c + 1)).sum())
+    spread = math.sqrt(float((want * np.arange(1, c + 1) ** 2).sum()) - mean**2)
+    rng, t = np.random.default_rng(2), np.ones(n, np.int64)
+    for k in range(6):
+        t = py.draw_tables(np.full(n, c), np.full(n, prior), np.full(n, others), t, d, rng, a, first=k == 0)
+    assert t.min() >= 1 and t.max() <= c
+    assert abs(t.mean() - mean) < 0.05 * spread + 0.02 * mean and abs(t.std() - spread) < 0.1 * spread + 0.02
+
+
+def test_log_stirling_of_many_customers():
+    for d in (0.2, 0.5, 0.8):
+        for c in (101, 700):
+            exact = [-math.inf, 0.0]
+            for n in range(1, c):
+                exact = [-math.inf] + [np.logaddexp(exact[t - 1], (exact[t] if t <= n else -math.inf) + (math.log(n - t * d) if n > t * d else -math.inf)) for t in range(1, n + 2)]
+            t = np.arange(1, 80)
+            got = py.log_stirling(np.full(len(t), c), t, d) + math.lgamma(c + 1)
+            assert np.abs(got - np.array(exact[1:80])).max() < 0.05 and np.abs(got - np.array(exact[1:80]))[:10].max() < 1e-4, (d, c)
+
+
+def gibbs_by_hand(texts, rounds, rng):
+    """Averaged predictive probabilities of a customer-by-customer sampler of the same model, as a function of (context, word)."""
+    rooms = {}
+    for t in texts:
+        for u, w in zip(["", *t], [*t, ""], strict=True):
+            rooms.setdefault(u, Counter())[w] += 1
+    vocabulary = {w for r in rooms.values() for w in r}
+    pairs = [c for r in rooms.values() for c in r.values()]
+    d = py.discount(pairs.count(1), pairs.count(2))
+    contexts = Counter(w for r in rooms.values() for w in r)
+    d0 = py.discount(list(contexts.values()).count(1), list(contexts.values()).count(2))
+    base = 1 / (len(vocabulary) + 1)
+    seats = {u: {w: [1] * c for w, c in r.items()} for u, r in rooms.items()}
+    top = {w: [1] * sum(len(r.get(w, [])) for r in seats.values()) for w in vocabulary}
+
+    def p0(w):
+        n, t = sum(map(sum, top.values())), sum(map(len, top.values()))
+        return (sum(top.get(w, [])) - d0 * len(top.get(w, [])) + (1 + d0 * t) * base) / (1 + n)
+
+    def p(u, w):
+        r = seats.get(u, {})
+        n, t = sum(map(sum, r.values())), sum(map(len, r.values()))
+        return (sum(r.get(w, [])) - d * len(r.get(w, [])) + (1 + d * t) * p0(w)) / (1 + n)
+
+    def leave(tables):
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+        return False
+
+    def sit(tables, d, fresh):
+        k = rng.choices(range(len(tables) + 1), [*[s - d for s in tables], fresh])[0]
+        if k == len(tables):
+            tables.append(1)
+            return True
+        tables[k] += 1
+        return False
+
+    def move_top(w, on):
+        if on:
+            sit(top[w], d0, (1 + d0 * sum(map(len, top.values()))) * base)
+        else:
+            leave(top[w])
+
+    asked = [(u, w) for u in [*rooms, "?"] for w in [*vocabulary, "?"]]
+    total = dict.fromkeys(asked, 0.0)
+    for k in range(rounds + 30):
+        for u, r in seats.items():
+            for w, tables in r.items():
+                for _ in range(sum(tables)):
+                    if leave(tables):
+                        move_top(w, False)
+                    if sit(tables, d, (1 + d * sum(map(len, r.values()))) * p0(w)):
+                        move_top(w, True)
+        if k >= 30:
+            for x in asked:
+                total[x] += p(*x) / rounds
+    return total
+
+
+def test_scores_agree_with_a_sampler_by_hand(documents, monkeypatch):
+    import random
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rng = random.Random(4)
+    texts = [rng.choices(["a", "b", "c", "d"], [8, 3, 2, 1], k=5) + (["e"] if k % 3 == 0 else []) for k in range(16)]
+    train, out = [i for i in range(100) if not held(i)][:16], [i for i in range(100) if held(i)][:2]
+    rows = [*zip(train, texts, strict=True), (out[0], ["a", "a", "new", "b"]), (out[1], ["e", "c", "d"])]
+    want = gibbs_by_hand(texts, 400, rng)
+    monkeypatch.setattr(py, "SAMPLES", 40)
+    got = {r["doc_id"]: r["score"] for r in py.score(documents([(i, " ".join(t)) for i, t in rows])).collect()}
+    known = {w for t in texts for w in t}
+    name = lambda w: w if w in known or not w else "?"
+    for i, t in rows:
+        assert abs(got[i] - sum(math.log10(want[name(u), name(w)]) for u, w in zip(["", *t], [*t, ""], strict=True))) < 0.1
 
 
 def test_scores(spark, documents, odd, no_documents, with_clashes, monkeypatch):
-    monkeypatch.setattr(py, "VOCABULARY", 20)
-    monkeypatch.setattr(py, "REMEMBERED", 30)
     rng = np.random.default_rng(3)
     chain = {w: rng.choice([f"w{k}" for k in range(60)], 3) for w in (f"w{k}" for k in range(60))}
 
@@ -134,24 +211,48 @@ def test_scores(spark, documents, odd, no_documents, with_clashes, monkeypatch):
         return " ".join(w).upper()
 
     rows = [(i, text()) for i in range(200)] + [(1000, None), (1001, ""), (1002, "never seen W1"), (None, text()), (3, text())]
-    got = py.score(with_clashes(documents(rows), "held_out", "others", "row", "c")).collect()
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    counts, ends = Counter(), 0
-    for i, t in rows:
-        if not held(i):
-            counts.update((t or "").lower().split())
-            ends += 1
-    n, v = sum(counts.values()) + ends, len(counts) + 1
-
-    def base(t):
-        w = (t or "").lower().split()
-        return len(w) + 1, sum(counts[x] > 0 for x in w) + 1, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1)), 6)
-
-    key = lambda i, *x: (i is None, i or 0, *x)
-    assert sorted(key(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == sorted(key(i, held(i), *base(t)) for i, t in rows)
-    assert {r["train_tokens"] for r in got} == {n} and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
-    out = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) + 100
+    for room in (16_000_000, 4000):
+        monkeypatch.setattr(py, "ROOM_BYTES", room)
+        got = py.score(with_clashes(documents(rows), "held_out", "others", "row", "c", "key", "kind")).collect()
+        held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+        counts, ends = Counter(), 0
+        for i, t in rows:
+            if not held(i):
+                counts.update((t or "").lower().split())
+                ends += 1
+        n, v = sum(counts.values()) + ends, len(counts) + 1
+
+        def base(t):
+            w = (t or "").lower().split()
+            return len(w) + 1, sum(counts[x] > 0 for x in w) + 1, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1)), 6)
+
+        key = lambda i, *x: (i is None, i or 0, *x)
+        assert sorted(key(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == sorted(key(i, held(i), *base(t)) for i, t in rows)
+        assert {r["train_tokens"] for r in got} == {n} and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+        out = [r for r in got if r["held_out"]]
+        assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) + 100
     assert py.score(odd).count() == odd.count() and py.score(no_documents).count() == 0
     nothing = documents([(i, "a b") for i in range(40) if held(i)])
     assert {(r["train_tokens"], r["n_known"], r["base_score"]) for r in py.score(nothing).collect()} == {(0, 0, 0.0)}
+
+
+def test_scores_do_not_depend_on_how_texts_are_dealt(spark, documents, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice([f"v{k * k % 37}" for k in range(60)], 30))) for i in range(120)]
+    monkeypatch.setattr(py, "ROOM_BYTES", 3000)
+    seen = []
+    for parts, lot, order in ((1, 3_000_000, rows), (5, 400, rows[::-1])):
+        monkeypatch.setattr(py, "LOT_TOKENS", lot)
+        seen.append({r["doc_id"]: round(r["score"], 9) for r in py.score(documents(order).repartition(parts)).collect()})
+    assert seen[0] == seen[1]
+
+
+def test_texts_seen_twice_score_higher(documents):
+    rng = np.random.default_rng(6)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train = [i for i in range(900) if not held(i)]
+    text = {i: " ".join(f"r{x}" for x in rng.integers(0, 2000, 30)) for i in train[:300]}
+    rows = [*text.items(), *zip(train[300:340], [text[i] for i in train[:40]], strict=True)]
+    gain = {r["doc_id"]: r["score"] - r["base_score"] for r in py.score(documents(rows)).collect()}
+    once, twice = [gain[i] for i in train[40:300]], [gain[i] for i in train[:40]]
+    assert np.mean(np.array(twice) > np.quantile(once, 0.95)) > 0.9
