@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from .errors import CubeError
+from .functions.encoding import decode_unit
+from .functions.register import functions
+from .functions.sketches import centroid_bytes, sample_bytes, topk_bytes, value_hash
+from .functions.states import average_bytes, variance_bytes
 from .functions.times import DAY, UNITS, Range, affected_windows, bucket_start, on_time, parse_time
 from .operators import set_algebra as algebra
 from .operators.series import series
-from .operators.static_cube import build_cube, quantile_of
-from .operators.temporal_cube import build_temporal, rollup_states, state_column
+from .operators.static_cube import build_cube, quantile_of, show_cube
+from .operators.temporal_cube import build_temporal, rollup_states, state_column, write_fixtures
 from .plans.correction import correct, publish_window
 from .plans.range_query import CoveragePlan, ResolutionPlan, TemporalQuery
-from .sources.bench_rows import bench_rows, layouts
+from .serve import CubeView, SeriesView, answer
+from .sources.bench_rows import bench_rows, layouts, read_range, write_layouts
 from .sources.control import ControlStore
-from .sources.tables import source_of
+from .sources.tables import from_batches, source_of, to_arrow, write_cube
 from .sources.window_store import WindowStore
 from .spec import CubeSpec
 from .xunits import XUnit
@@ -137,25 +146,22 @@ def cube_quantile(spark, sf_dir):
     return raw.select("xunit", quantile_of(F.col("q"), 500.0, 0.5).alias("p50"), quantile_of(F.col("q"), 500.0, 0.9).alias("p90"))
 
 
-def _reach(spark, sf_dir, rows=None):
-    return build_cube(spec_of({"kind": ["event_type"]}, REACH), table(spark, sf_dir, "events") if rows is None else rows, raw=True)
+def _reach(spark, sf_dir):
+    return build_cube(spec_of({"kind": ["event_type"]}, REACH), table(spark, sf_dir, "events"), raw=True)
 
 
 def _algebra(df):
     return rounded(df.select("a", "b", "estimate_a", "estimate_b", "union_estimate", "intersection_estimate", "jaccard", "lift"), jaccard=6, lift=6)
 
 
-def _few_users(spark, sf_dir):
-    """Users with a common number, so that counts stay below a sketch's size at every scale."""
-    return table(spark, sf_dir, "events").withColumn("user_id", F.col("user_id") % 500 + F.when(F.col("event_type") == "error", 100).otherwise(0))
-
-
 def setops(spark, sf_dir):
-    return _algebra(algebra.set_ops(_reach(spark, sf_dir, _few_users(spark, sf_dir)), "/kind/event_type=click", "/kind/event_type=error", "reach"))
+    """Over whole users: exact up to a sketch's size (as at the scale that SQL is compared at), estimates beyond."""
+    return _algebra(algebra.set_ops(_reach(spark, sf_dir), "/kind/event_type=click", "/kind/event_type=error", "reach"))
 
 
 def overlap_matrix(spark, sf_dir):
-    return _algebra(algebra.all_pairs(_reach(spark, sf_dir, _few_users(spark, sf_dir)), "reach"))
+    """Users that any two days share."""
+    return _algebra(algebra.all_pairs(build_cube(spec_of({"day": EVENTS["day"]}, REACH), table(spark, sf_dir, "events"), raw=True), "reach"))
 
 
 def nearest_cells(spark, sf_dir):
@@ -233,12 +239,36 @@ def temporal_quarantine(spark, sf_dir):
     return _shown(build.cells).withColumn("dropped", F.lit(build.null_event_times).cast("long"))
 
 
-def temporal_registry(spark, sf_dir):
-    from .functions.encoding import decode_unit
+@F.pandas_udf(StringType())
+def _unit_names(canonical: pd.Series) -> pd.Series:
+    return pd.Series([str(decode_unit(bytes(b))) for b in canonical])
+
 
+def temporal_registry(spark, sf_dir):
     build = _temporal(spark, sf_dir)
-    name = F.udf(lambda b: str(decode_unit(b)), "string")  # a row per distinct cell
-    return build.registry.select(name("xunit_canonical").alias("xunit"), F.length("xunit_id").cast("int").alias("id_bytes"))
+    return build.registry.select(_unit_names("xunit_canonical").alias("xunit"), F.length("xunit_id").cast("int").alias("id_bytes"))
+
+
+def temporal_ordered(spark, sf_dir):
+    """Rows of an ordered build, and neighbours that are out of order."""
+    rows = _temporal(spark, sf_dir, ordered=True).states.select(F.monotonically_increasing_id().alias("k"), F.struct("bucket_start", F.hex("xunit_id").alias("i")).alias("at"))
+    last = F.lag("at").over(Window.orderBy("k"))
+    return rows.select((last >= F.col("at")).alias("wrong")).agg(F.count("*").alias("n"), F.count(F.when(F.col("wrong"), 1)).alias("out_of_order"))
+
+
+SKETCHED = [("reach", "count_distinct", "CAST(user_id AS STRING)"), ("spread", "variance", "value"), ("mid", "quantile", "value", None, {"quantileBinWidth": 0.5}), ("who", "reservoir_sample", "CAST(user_id AS STRING)")]
+
+
+def temporal_sketches(spark, sf_dir):
+    """Sketches and states that only merge as bytes, from six hours to days."""
+    build = build_temporal(spec_of({"kind": ["event_type"]}, SKETCHED, temporal=TEMPORAL), table(spark, sf_dir, "events"), ordered=False)
+    daily, f = rollup_states(build.states, build.spec, DAY).join(build.registry, "xunit_id"), functions()
+    names = [state_column(m) for m in build.spec.measures]
+    spread = F.get_json_object(f["variance_json"](names[1]), "$.populationVariance").cast("double")
+    return daily.select(
+        F.unix_micros("bucket_start").alias("bucket"), _unit_names("xunit_canonical").alias("xunit"), f["kmv_estimate"](names[0]).alias("reach"), F.round(spread, 4).alias("spread"),
+        f["quantile_at"](names[2], F.lit(0.9)).alias("p90"), F.size(F.from_json(f["sample_json"](names[3]), "array<string>")).alias("sampled"),
+    )
 
 
 def temporal_coverage(spark, sf_dir):
@@ -272,8 +302,11 @@ def bucket_starts(spark, sf_dir):
 
 
 def _scratch(spark) -> str:
+    """A new folder that all executors share; only a session on one machine may name none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise CubeError("set spark.checkpoint.dir to a folder that all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         base = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(base)
@@ -358,6 +391,115 @@ def layout_rows(spark, sf_dir):
     return out
 
 
+def layout_contents(spark, sf_dir):
+    """The same counts and totals out of each layout, as it is stored."""
+    build, path = _temporal(spark, sf_dir), _scratch(spark)
+    write_layouts(build.states, build.registry, [state_column(m) for m in build.spec.measures], path)
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    tagged = read("tagged_struct").select(F.explode("states").alias("s")).select(F.col("s.tag").alias("measure"), "s.state")
+    parts = []
+    for name, texts in (("per_measure", read("per_measure")), ("tagged_struct", tagged)):
+        value = lambda m: F.sum(F.when(F.col("measure") == m, F.col("state").cast("double")))
+        parts.append(texts.where("measure IN ('n_v1', 'total_v1')").agg(value("n_v1").cast("long").alias("n"), F.round(value("total_v1"), 2).alias("total")).withColumn("layout", F.lit(name)))
+    parts += [read(name).agg(F.sum("n_v1").alias("n"), F.round(F.sum("total_v1"), 2).alias("total")).withColumn("layout", F.lit(name)) for name in ("wide", "registry_states")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def range_read(spark, sf_dir):
+    """A range of buckets out of a stored layout."""
+    build, path = _temporal(spark, sf_dir), _scratch(spark)
+    write_layouts(build.states, build.registry, [state_column(m) for m in build.spec.measures], path)
+    rows = read_range(spark, f"{path}/wide", WINDOW.start, WINDOW.end)
+    return rows.groupBy(F.unix_micros("bucket_start").alias("bucket")).agg(F.count("*").alias("cells"), F.sum("n_v1").alias("n"), F.round(F.sum("total_v1"), 2).alias("total"))
+
+
+def fixture_files(spark, sf_dir):
+    """States and registry written as one file each, and read again."""
+    build, path = _temporal(spark, sf_dir, ordered=True), _scratch(spark)
+    write_fixtures(build, f"{path}/states", f"{path}/registry")
+    states, registry = spark.read.parquet(f"{path}/states"), spark.read.parquet(f"{path}/registry")
+    return states.join(registry, "xunit_id").groupBy(_unit_names("xunit_canonical").alias("xunit")).agg(F.count("*").alias("buckets"), F.sum("n_v1").alias("n"))
+
+
+def golden_bytes(spark, sf_dir):
+    """Bytes of sketches, states, a cell and its id, as they are stored."""
+    one = spark.createDataFrame([("alpha", "CZ"), ("beta", "CZ"), ("gamma", "CZ")], "v string, country string").withColumn("ts", F.timestamp_micros(F.lit(0).cast("long")))
+    build = build_temporal(spec_of({"geo": ["country"]}, [("d", "count_distinct", "v", None, {"kmvSize": 8})], glob=False, temporal=TEMPORAL), one)
+    rows = [build.states.select(F.lit("kmv").alias("name"), F.col(state_column(build.spec.measures[0])).alias("raw"))]
+    items = F.array(F.struct(F.lit("beta").alias("key"), F.lit(2.5).alias("score")), F.struct(F.lit("alpha").alias("key"), F.lit(1.0).alias("score")))
+    sampled = one.where("v <> 'gamma'").select(F.struct(value_hash("v").alias("h"), "v").alias("i")).agg(F.array_sort(F.collect_list("i")).alias("i"))
+    rows += [
+        spark.range(1).select(F.lit("topk").alias("name"), topk_bytes(4)(items).alias("raw")),
+        sampled.select(F.lit("sample").alias("name"), sample_bytes(4)("i").alias("raw")),
+        spark.range(1).select(F.lit("centroid").alias("name"), centroid_bytes(F.lit(1).cast("long"), F.array(F.lit(1.0), F.lit(-2.0))).alias("raw")),
+        spark.range(1).select(F.lit("average").alias("name"), average_bytes(F.lit(1.5), F.lit(1).cast("long")).alias("raw")),
+        spark.range(1).select(F.lit("variance").alias("name"), variance_bytes(F.lit(1).cast("long"), F.lit(2.0), F.lit(0.0)).alias("raw")),
+    ]
+    registry = build.registry
+    rows += [registry.select(F.lit("cell").alias("name"), F.col("xunit_canonical").alias("raw")), registry.select(F.lit("cell_id").alias("name"), F.col("xunit_id").alias("raw"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select("name", F.lower(F.hex("raw")).alias("hex"))
+
+
+def cube_show(spark, sf_dir):
+    return show_cube(cube_basic(spark, sf_dir), "revenue", 5)
+
+
+def memory_source(spark, sf_dir):
+    """A cube of an Arrow table in memory, taken out as Arrow again."""
+    held = table(spark, sf_dir, "nation").toArrow()
+    cube = build_cube(spec_of({"region": [("key", "CAST(n_regionkey AS STRING)")]}, [("n", "count"), ("first", "min", "n_name")]), from_batches(spark, held))
+    return from_batches(spark, to_arrow(cube))
+
+
+def _view(spark, sf_dir):
+    path = _scratch(spark)
+    write_cube(build_cube(spec_of(EVENTS, REACH), table(spark, sf_dir, "events")), path)
+    return CubeView.open(spark, path)
+
+
+def _asked(view, series_view, method, url, body=b""):
+    status, out = answer(view, series_view, method, url, body)
+    if status != 200:
+        raise ValueError(f"{status}: {out}")
+    return out
+
+
+def api_meta(spark, sf_dir):
+    m = _asked(_view(spark, sf_dir), None, "GET", "/api/meta")
+    return spark.createDataFrame([(m["cells"], m["has_global"], ",".join(m["dimensions"]), ",".join(m["measures"]), ",".join(f"{x['measure']}:{x['kind']}" for x in m["sketches"]))], "cells long, has_global boolean, dimensions string, measures string, sketches string")
+
+
+def api_cells(spark, sf_dir):
+    cells = _asked(_view(spark, sf_dir), None, "GET", "/api/cells?dim=day&sort=n&limit=7")["cells"]
+    return spark.createDataFrame([(k + 1, c["xunit"], c["label"], c["measures"]["reach"], c["measures"]["n"]) for k, c in enumerate(cells)], "place int, xunit string, label string, reach double, n long")
+
+
+def api_cell(spark, sf_dir):
+    c = _asked(_view(spark, sf_dir), None, "GET", "/api/cell?xunit=/kind/event_type=click")
+    s = c["sketches"]["reach"]
+    return spark.createDataFrame([(c["xunit"], c["label"], c["measures"]["n"], c["measures"]["reach"], s["kind"], s["k"], s["estimate"])], "xunit string, label string, n long, reach double, kind string, k int, estimate double")
+
+
+def api_setops(spark, sf_dir):
+    s = _asked(_view(spark, sf_dir), None, "GET", "/api/setops?a=/day/day=2024-01-08&b=/day/day=2024-01-09&measure=reach")
+    return spark.createDataFrame([(s["a"]["estimate"], s["b"]["estimate"], s["union"], s["intersection"], round(s["jaccard"], 6), round(s["lift"], 6))], "a double, b double, union_estimate double, intersection double, jaccard double, lift double")
+
+
+def api_series(spark, sf_dir):
+    spec, store = _published(spark, sf_dir)
+    windows = [{"window_id": w, "bucket_start": r.start} for d in DAYS for w, r in affected_windows(Range(d, d + DAY), DAY)]
+    ask = {"selector": str(SELECTOR), "measure": "total", "start": DAYS[0] - 6 * UNITS["h"], "end": DAYS[-1] + DAY + 6 * UNITS["h"], "resolution": "1d", "windows": windows}
+    out = _asked(_view(spark, sf_dir), SeriesView(spec, store), "POST", "/api/series", json.dumps(ask).encode())
+    rows = [(p["bucket_start"], p["bucket_end"], p["is_exact"], None if p["value"] is None else round(p["value"], 4), len(p["published"])) for p in out["points"]]
+    return spark.createDataFrame(rows, "start long, end long, exact boolean, value double, published int")
+
+
 def csv_source(spark, sf_dir):
     """Cubes read CSV with a header as they read Parquet."""
     from .sources.tables import read_source
@@ -385,7 +527,8 @@ def all_queries() -> dict:
     names = [
         cube_basic, cube_hierarchy, cube_expr_levels, cube_geo, cube_count_distinct, cube_count_distinct_orders, cube_topk, cube_sample, cube_centroid, cube_variance, cube_quantile,
         setops, overlap_matrix, nearest_cells, rates, cube_merge, cube_slice, cube_meta, cube_cell, cube_documents, temporal_build, temporal_window, temporal_quarantine, temporal_registry,
-        temporal_coverage, temporal_explain, temporal_rollup, temporal_lateness, bucket_starts, correction_rebuild, range_segments, affected, bench_source, bench_source_sparse, layout_rows, csv_source, event_stream,
+        temporal_coverage, temporal_explain, temporal_ordered, temporal_sketches, temporal_rollup, temporal_lateness, bucket_starts, correction_rebuild, range_segments, affected, bench_source, bench_source_sparse, layout_rows, csv_source, event_stream,
+        layout_contents, range_read, fixture_files, golden_bytes, cube_show, memory_source, api_meta, api_cells, api_cell, api_setops, api_series,
     ]
     out = {f.__name__: f for f in names} | {f"rule_{r}": _rule(r) for r in RULES}
     out |= {f"series_{m}": _series(n) for m, n in {"sum": "total", "count": "n", "min": "low", "max": "high", "avg": "mean"}.items()}

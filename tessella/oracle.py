@@ -67,15 +67,38 @@ REACH = "count(DISTINCT user_id)::DOUBLE AS reach, count(*) AS n"
 STATES = "round(sum(value), 2) AS total, count(*) AS n, min(value) AS low, max(value) AS high, round(sum(value), 2) / count(*) AS mean"
 SIX = "epoch_us(ts) - (((epoch_us(ts) % 21600000000) + 21600000000) % 21600000000) AS bucket"
 WINDOW = "ts >= TIMESTAMP '2024-01-05 03:00:00' AND ts < TIMESTAMP '2024-01-09 00:00:00'"
-FEW = "SELECT event_type, user_id % 500 + CASE WHEN event_type = 'error' THEN 100 ELSE 0 END AS u FROM events"
 _GEO = "SELECT r_name, n_name, c_mktsegment, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 
-def _pairs(where: str) -> str:
+def _pairs(key: str, name: str, where: str) -> str:
     return f"""
-WITH u AS (SELECT DISTINCT event_type AS e, u FROM ({FEW})), s AS (SELECT e, count(*)::DOUBLE AS c FROM u GROUP BY e), g AS (SELECT count(DISTINCT u)::DOUBLE AS c FROM u),
+WITH u AS (SELECT DISTINCT {key} AS e, user_id AS u FROM events), s AS (SELECT e, count(*)::DOUBLE AS c FROM u GROUP BY e), g AS (SELECT count(DISTINCT u)::DOUBLE AS c FROM u),
 p AS (SELECT a.e AS x, b.e AS y, a.c AS ca, b.c AS cb, (SELECT count(*) FROM u m JOIN u n ON m.u = n.u AND m.e = a.e AND n.e = b.e)::DOUBLE AS i FROM s a JOIN s b ON {where})
-SELECT '/kind/event_type=' || x AS a, '/kind/event_type=' || y AS b, ca AS estimate_a, cb AS estimate_b, ca + cb - i AS union_estimate, i AS intersection_estimate, round(i / (ca + cb - i), 6) AS jaccard, round(i * g.c / (ca * cb), 6) AS lift FROM p, g"""
+SELECT '{name}=' || x AS a, '{name}=' || y AS b, ca AS estimate_a, cb AS estimate_b, ca + cb - i AS union_estimate, i AS intersection_estimate, round(i / (ca + cb - i), 6) AS jaccard, round(i * g.c / (ca * cb), 6) AS lift FROM p, g"""
+
+
+#: Bytes of known sketches, states and a cell.
+GOLDEN = {
+    "kmv": "4b4d56010800000003000000f6299d6fbff7700041f6df977ffffa285aab25f6b50369be",
+    "topk": "54504b0104000000020000000000000000000440040062657461000000000000f03f0500616c706861",
+    "sample": "534d5001040000000200000041f6df977ffffa280400626574615aab25f6b50369be0500616c706861",
+    "centroid": "43545201010000000000000002000000000000000000f03f00000000000000c0",
+    "average": "41564702000000000000f83f0100000000000000dff5fa2d",
+    "variance": "564152020100000000000000000000000000004000000000000000002a68d08b",
+    "cell": "43585501000000010000000367656f0000000100000007636f756e7472790600000002435a",
+    "cell_id": "bed9c102177b3a386d76f139182452ae0f343c8760bf439d66aca37ad547fc4a",
+}
+
+
+def _splitmix() -> str:
+    """SplitMix64 of each row number xor 42, in 128 bits cut to 64."""
+    m = "18446744073709551616::UHUGEINT"
+    return f"""
+WITH a AS (SELECT (xor(range, 42)::UHUGEINT + 11400714819323198485::UHUGEINT) % {m} AS x FROM range(20000)),
+b AS (SELECT (xor(x, x >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT) % {m} AS x FROM a),
+c AS (SELECT (xor(x, x >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT) % {m} AS x FROM b),
+d AS (SELECT xor(x, x >> 31::UHUGEINT) AS x FROM c)
+SELECT 'device_' || (((x * 2147483648::UHUGEINT) % {m} + (x >> 33::UHUGEINT)) % 8::UHUGEINT)::VARCHAR AS device, count(*) AS n, sum((x % 97::UHUGEINT)::BIGINT + 1)::BIGINT AS amount FROM d GROUP BY 1"""
 
 
 def _series(value: str, zero: bool = False) -> str:
@@ -106,8 +129,8 @@ def all_sql() -> dict[str, str]:
         "cube_centroid": f"SELECT xunit, i::INTEGER AS i, mean FROM ({centroid})",
         "cube_variance": cube(LINES, FLAG | STATUS, "count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 4) AS pop, round(var_samp(l_quantity), 4) AS samp"),
         "cube_quantile": f"WITH b AS ({bins}), r AS (SELECT *, sum(k) OVER (PARTITION BY xunit ORDER BY bin) AS upto, sum(k) OVER (PARTITION BY xunit) AS total FROM b) SELECT xunit, (min(bin) FILTER (upto > floor((total - 1) * 0.5)) + 0.5) * 500 AS p50, (min(bin) FILTER (upto > floor((total - 1) * 0.9)) + 0.5) * 500 AS p90 FROM r GROUP BY xunit",
-        "setops": _pairs("a.e = 'click' AND b.e = 'error'"),
-        "overlap_matrix": _pairs("a.e < b.e"),
+        "setops": _pairs("event_type", "/kind/event_type", "a.e = 'click' AND b.e = 'error'"),
+        "overlap_matrix": _pairs(DAY["day"][0][1], "/day/day", "a.e < b.e"),
         "nearest_cells": """
 WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL),
 big AS (SELECT label FROM embeddings GROUP BY label HAVING count(*) > 10 UNION ALL SELECT NULL WHERE (SELECT count(*) FROM embeddings) > 10),
@@ -140,6 +163,24 @@ SELECT * FROM (VALUES (0, 604800000000, epoch_us(TIMESTAMP '2024-01-02 05:00:00'
         "csv_source": cube("SELECT * FROM nation", {"region": [("key", "n_regionkey")]}, "count(*) AS n, max(n_nationkey) AS last"),
         "event_stream": f"WITH e AS (SELECT *, {SIX} FROM events) SELECT bucket, 2 * count(*)::BIGINT AS n, round(2 * sum(value), 2) AS total, min(value) AS low, max(value) AS high FROM e GROUP BY 1",
         "series_gap_zero": _series("sum(value)", True),
+        "bench_source_sparse": _splitmix(),
+        "temporal_ordered": f"SELECT count(*) AS n, 0::BIGINT AS out_of_order FROM ({_one_kind('count(*) AS n')})",
+        "temporal_sketches": f"""
+WITH e AS (SELECT epoch_us(date_trunc('day', ts)) AS bucket, '/kind/event_type=' || event_type AS xunit, value, user_id FROM events), c AS (SELECT * FROM e UNION ALL SELECT bucket, '/G', value, user_id FROM e),
+b AS (SELECT bucket, xunit, floor(value / 0.5) AS bin, count(*) AS k FROM c GROUP BY ALL), r AS (SELECT *, sum(k) OVER (PARTITION BY bucket, xunit ORDER BY bin) AS upto, sum(k) OVER (PARTITION BY bucket, xunit) AS total FROM b),
+q AS (SELECT bucket, xunit, (min(bin) FILTER (upto > floor((total - 1) * 0.9)) + 0.5) * 0.5 AS p90 FROM r GROUP BY ALL)
+SELECT c.bucket, c.xunit, count(DISTINCT user_id)::DOUBLE AS reach, round(var_pop(value), 4) AS spread, any_value(p90) AS p90, least(count(DISTINCT user_id), 64)::INTEGER AS sampled FROM c JOIN q ON c.bucket = q.bucket AND c.xunit = q.xunit GROUP BY c.bucket, c.xunit""",
+        "layout_contents": "SELECT unnest(['per_measure', 'wide', 'tagged_struct', 'registry_states']) AS layout, 2 * count(*)::BIGINT AS n, round(2 * sum(value), 2) AS total FROM events",
+        "range_read": f"WITH c AS ({_one_kind('count(*) AS n, sum(value) AS t')}) SELECT bucket, count(*) AS cells, sum(n)::BIGINT AS n, round(sum(t), 2) AS total FROM c WHERE bucket >= epoch_us(TIMESTAMP '2024-01-05 03:00:00') AND bucket < epoch_us(TIMESTAMP '2024-01-09 00:00:00') GROUP BY bucket",
+        "fixture_files": f"SELECT xunit, count(*) AS buckets, sum(n)::BIGINT AS n FROM ({_one_kind('count(*) AS n')}) GROUP BY xunit",
+        "golden_bytes": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in GOLDEN.items()) + ") t(name, hex)",
+        "cube_show": f"SELECT * FROM ({cube(LINES, FLAG | STATUS, NUMBERS)}) ORDER BY revenue DESC, xunit LIMIT 5",
+        "memory_source": cube("SELECT * FROM nation", {"region": [("key", "n_regionkey")]}, "count(*) AS n, min(n_name) AS first"),
+        "api_meta": f"SELECT count(*) AS cells, true AS has_global, 'day,kind' AS dimensions, 'reach,n' AS measures, 'reach:kmv' AS sketches FROM ({cube(EVENTS, KIND | DAY, REACH)})",
+        "api_cells": f"SELECT row_number() OVER (ORDER BY n DESC, xunit)::INTEGER AS place, xunit, replace(xunit, '/day/day=', '') AS label, reach, n FROM ({cube(EVENTS, DAY, REACH, glob=False)}) ORDER BY n DESC, xunit LIMIT 7",
+        "api_cell": "SELECT '/kind/event_type=click' AS xunit, 'click' AS label, count(*) AS n, count(DISTINCT user_id)::DOUBLE AS reach, 'kmv' AS kind, 1024 AS k, count(DISTINCT user_id)::DOUBLE AS estimate FROM events WHERE event_type = 'click'",
+        "api_setops": f"SELECT estimate_a AS a, estimate_b AS b, union_estimate, intersection_estimate AS intersection, jaccard, lift FROM ({_pairs(DAY['day'][0][1], '/day/day', "a.e = '2024-01-08' AND b.e = '2024-01-09'")})",
+        "api_series": f"SELECT *, CASE WHEN exact THEN 4 ELSE 0 END::INTEGER AS published FROM ({_series('sum(value)')})",
     }
     out |= {f"rule_{r}": cube(LINES, FLAG | STATUS | TIME, SUMS, where, glob) for r, (where, glob) in RULES.items()}
     return out | {f"series_{m}": _series(v) for m, v in {"sum": "sum(value)", "count": "count(*)", "min": "min(value)", "max": "max(value)", "avg": "avg(value)"}.items()}

@@ -168,3 +168,17 @@ def test_functions_in_sql(spark, web):
     spark.createDataFrame([(bytearray(AverageState(6.0, 4).to_bytes()), bytearray(q.to_bytes()))] * 2, "a binary, q binary").createOrReplaceTempView("states")
     assert spark.sql("SELECT average_value(average_merge(a)), quantile_at(quantile_merge(q), 1.0) FROM states").first()[:] == (1.5, 4.5)
     assert str(spark.sql("SELECT bucket_start(TIMESTAMP '2024-01-01 05:30:00', 3600000000, 0) AS b").first()["b"]) == "2024-01-01 05:00:00"
+
+
+def test_estimates_beyond_a_sketch_are_those_of_one_sketch(spark):
+    """Cells of 3000 values, by the sketch that adds them one by one."""
+    rows = [("a", f"v{i}") for i in range(3000)] + [("b", f"v{i}") for i in range(1500, 4500)]
+    spec = CubeSpec.from_dict({"apiVersion": "v1", "name": "c", "dimensions": [{"name": "k", "levels": ["k"]}], "measures": [{"name": "d", "agg": "count_distinct", "input": "v"}], "includeGlobal": True})
+    cube = build_cube(spec, spark.createDataFrame(rows * 2, "k string, v string").repartition(7), raw=True)
+    a, b, every = (KmvSketch().extend(x) for x in ([v for k, v in rows if k == "a"], [v for k, v in rows if k == "b"], [v for _, v in rows]))
+    shown = {r["xunit"]: (r["d"], bytes(r["d__sketch"])) for r in build_cube(spec, spark.createDataFrame(rows, "k string, v string")).collect()}
+    for cell, sketch in (("/k/k=a", a), ("/G", every)):
+        assert shown[cell][1] == sketch.to_bytes() and shown[cell][0] == pytest.approx(sketch.estimate(), rel=1e-12)
+    assert abs(a.estimate() / 3000 - 1) < 0.12
+    got = algebra.set_ops(cube, "/k/k=a", "/k/k=b", "d").first()
+    assert got["union_estimate"] == pytest.approx(a.union_estimate(b)) and got["intersection_estimate"] == pytest.approx(a.intersection_estimate(b)) and got["jaccard"] == pytest.approx(a.jaccard(b))

@@ -97,3 +97,11 @@ def test_states_edges():
             AverageState.from_bytes(bad)
     assert zlib.crc32(raw[:-4]) == int.from_bytes(raw[-4:], "little")
     assert not any(c[2] and c[3] for c in CAPABILITIES.values())
+
+
+def test_many_hashes_at_once_are_the_hashes_one_by_one():
+    from tessella.functions.blake3 import blake3, blake3_many
+
+    inputs = [bytes(range(256)) * 8, *[b"x" * n for n in (0, 1, 63, 64, 65, 127, 128, 1023, 1024, 1025, 3000)], b"abc"]
+    assert blake3_many(inputs) == [blake3(b) for b in inputs] and blake3_many([]) == []
+    assert blake3(b"").hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
