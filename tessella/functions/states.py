@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CodecError, CubeError
+from .sketches import sketch_of
 
 #: For each aggregate (associative, commutative, idempotent, subtractable, exact, tolerance).
 CAPABILITIES = {
@@ -162,6 +163,12 @@ class QuantileState:
 STATES = {b"AVG": AverageState, b"VAR": VarianceState, b"QNT": QuantileState}
 
 
+def state_of(raw: bytes):
+    """The state or sketch that ``raw`` holds, by its magic."""
+    kind = STATES.get(bytes(raw[:3]))
+    return kind.from_bytes(raw) if kind else sketch_of(raw)
+
+
 # ---- over columns: bytes are made once per cell ---------------------------------------------------------------------
 
 
@@ -187,3 +194,16 @@ def quantile_bytes(width: float):
 def average_parts(blobs: pd.Series) -> pd.DataFrame:
     got = [None if b is None else AverageState.from_bytes(b) for b in blobs]
     return pd.DataFrame({"total": [g.total if g else 0.0 for g in got], "count": [g.count if g else 0 for g in got]})
+
+
+@F.pandas_udf(T.BinaryType())
+def merge_all(groups: pd.Series) -> pd.Series:
+    """Arrays of states or sketches of one kind, as bytes, merged; an empty array gives null."""
+    out = []
+    for blobs in groups:
+        merged = None
+        for b in blobs if blobs is not None else ():
+            one = state_of(bytes(b))
+            merged = one if merged is None else merged.merge(one)
+        out.append(None if merged is None else merged.to_bytes())
+    return pd.Series(out, dtype=object)

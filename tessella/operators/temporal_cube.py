@@ -1,7 +1,7 @@
 """Temporal cubes: states keyed by (bucket_start, xunit_id), with a registry of cells and what the build covered.
 
 Time is a key of its own in every grouping set and never part of a cell. Canonical bytes of cells are
-built by column functions; only their BLAKE3 ids need Python, once for each distinct cell.
+built by column functions; only their BLAKE3 ids need Python, over arrays of many cells.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..errors import CubeError
 from ..functions import sketches as S
 from ..functions import states as A
-from ..functions.blake3 import blake3
+from ..functions.blake3 import blake3_many
 from ..functions.encoding import MAGIC, STRING, VERSION
 from ..functions.times import Range, bucket, bucket_start, show_time
 from ..spec import CubeSpec, Measure
@@ -66,7 +66,7 @@ def canonical_column(layout: Layout) -> Column:
 
 @F.pandas_udf(T.BinaryType())
 def content_ids(canonical: pd.Series) -> pd.Series:
-    return canonical.map(lambda b: blake3(bytes(b)))
+    return pd.Series(blake3_many([bytes(b) for b in canonical]))
 
 
 def state_value(m: Measure) -> Column:
@@ -139,7 +139,7 @@ def build_temporal(spec: CubeSpec, source: DataFrame, window: Range | None = Non
     cells = measure_cells(named, Layout(counted, layout.kept, layout.columns), ["bucket_start"], inputs, doubles=True)
     cells = cells.withColumnRenamed("__rows_", "__rows").withColumn("xunit_canonical", canonical_column(layout))
     registry = cells.select("xunit_canonical").distinct().withColumn("xunit_id", content_ids("xunit_canonical")).select("xunit_id", "xunit_canonical")
-    states = cells.join(registry, "xunit_canonical").select("bucket_start", "xunit_id", *[state_value(m).alias(state_column(m)) for m in spec.measures])
+    states = cells.select("bucket_start", content_ids("xunit_canonical").alias("xunit_id"), *[state_value(m).alias(state_column(m)) for m in spec.measures])
     if ordered:
         states = states.orderBy("bucket_start", "xunit_id")
     coverage = None
@@ -158,11 +158,14 @@ def write_fixtures(build: TemporalBuild, states_path: str, registry_path: str) -
 
 
 def rollup_states(states: DataFrame, spec: CubeSpec, width: int) -> DataFrame:
-    """Scalar states of base buckets merged to coarser ones; averages travel as (sum, count)."""
+    """States of base buckets merged to coarser ones: numbers as aggregates, averages as (sum, count), all others by their bytes.
+
+    Bytes of a cell are gathered first: as many as there are base buckets (and stored parts) in a coarse one, each of a bounded size.
+    """
     t = spec.temporal
     if width % t.base:
         raise CubeError("a rollup is a multiple of the base resolution")
-    aggs = []
+    aggs, last = [], {}
     for m in spec.measures:
         c = state_column(m)
         if m.agg in ("sum", "count"):
@@ -171,8 +174,11 @@ def rollup_states(states: DataFrame, spec: CubeSpec, width: int) -> DataFrame:
             aggs.append((F.min if m.agg == "min" else F.max)(c).alias(c))
         elif m.agg == "avg":
             aggs.append(F.struct(F.sum(f"__{c}.total").alias("total"), F.sum(f"__{c}.count").alias("count")).alias(c))
+        else:
+            aggs.append(F.collect_list(c).alias(c))
+            last[c] = A.merge_all(c)
     parts = states.withColumns({f"__{state_column(m)}": A.average_parts(state_column(m)) for m in spec.measures if m.agg == "avg"} or {"__": F.lit(0)})
-    return parts.groupBy(bucket_start(F.col("bucket_start"), width, t.origin).alias("bucket_start"), "xunit_id").agg(*aggs)
+    return parts.groupBy(bucket_start(F.col("bucket_start"), width, t.origin).alias("bucket_start"), "xunit_id").agg(*aggs).withColumns(last)
 
 
 def bucket_of(spec: CubeSpec, at: int) -> str:

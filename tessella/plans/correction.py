@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import ConflictError, CubeError
 from ..functions.states import CAPABILITIES
@@ -87,32 +88,40 @@ def plan(spec: CubeSpec, store: WindowStore, changed: Range) -> list[tuple[str,
 def correct(spec: CubeSpec, store: WindowStore, source: DataFrame, changed: Range, prefix: str = "correction", before: Callable[[str], None] | None = None) -> Correction:
     """Rebuilds every published window that ``changed`` touches from ``source``, which holds all rows and not only the late ones.
 
-    The current revision is read before a window is built, so whoever publishes meanwhile wins and this fails.
+    Current revisions are read first, so whoever publishes meanwhile wins and this fails. All windows are built in one pass over the source and kept; each is then published from its buckets.
     """
     done, todo = Correction(), plan(spec, store, changed)
-    for k, (name, window, _) in enumerate(todo):
-        now = store.control.current(store.cube, name)
-        if now is None:
-            done.unpublished.append(name)
-            continue
-        try:
-            if before:
-                before(name)
-            publish_window(spec, store, source, name, window, now.revision + 1, f"{prefix}-{name}-r{now.revision + 1}", now.revision, done)
-        except Exception as e:
-            done.not_reached = [n for n, _, _ in todo[k + 1 :]]
-            raise PartialCorrection(name, e, done) from e
+    done.unpublished = [n for n, _, revision in todo if revision is None]
+    todo = [w for w in todo if w[2] is not None]
+    if not todo:
+        return done
+    whole = Range(min(r.start for _, r, _ in todo), max(r.end for _, r, _ in todo))
+    built = build_temporal(spec, source, whole, "quarantine", ordered=False)
+    states, registry = built.states.persist(), built.registry.persist()
+    try:
+        sizes = {r["b"]: r["n"] for r in states.groupBy(F.unix_micros("bucket_start").alias("b")).agg(F.count("*").alias("n")).collect()}
+        for k, (name, window, revision) in enumerate(todo):
+            try:
+                if before:
+                    before(name)
+                inside = states.where((F.unix_micros("bucket_start") >= window.start) & (F.unix_micros("bucket_start") < window.end))
+                names = registry.join(inside.select("xunit_id").distinct(), "xunit_id", "left_semi")
+                rows = sum(n for b, n in sizes.items() if window.start <= b < window.end)
+                done.published.append((name, execute(store, name, revision + 1, f"{prefix}-{name}-r{revision + 1}", revision, inside, names, rows, [m.agg for m in spec.measures])))
+            except Exception as e:
+                done.not_reached = [n for n, _, _ in todo[k + 1 :]]
+                raise PartialCorrection(name, e, done) from e
+    finally:
+        states.unpersist()
+        registry.unpersist()
     return done
 
 
-def publish_window(spec: CubeSpec, store: WindowStore, source: DataFrame, name: str, window: Range, revision: int, run_id: str, observed: int | None, done: Correction | None = None) -> Publication:
+def publish_window(spec: CubeSpec, store: WindowStore, source: DataFrame, name: str, window: Range, revision: int, run_id: str, observed: int | None) -> Publication:
     """Builds one window and publishes it as a revision."""
     built = build_temporal(spec, source, window, "quarantine", ordered=False)
     states = built.states.persist()
     try:
-        pub = execute(store, name, revision, run_id, observed, states, built.registry, states.count(), [m.agg for m in spec.measures])
+        return execute(store, name, revision, run_id, observed, states, built.registry, states.count(), [m.agg for m in spec.measures])
     finally:
         states.unpersist()
-    if done is not None:
-        done.published.append((name, pub))
-    return pub

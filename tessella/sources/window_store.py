@@ -58,25 +58,29 @@ class WindowStore:
             return None
         return json.loads(self.spark.read.text(place).first()["value"])["snapshot"]
 
-    def read(self, window: str) -> DataFrame:
-        """Rows of the window's current revision, from the folder of its run alone."""
+    def _current(self, window: str) -> str:
         now = self.control.current(self.cube, window)
         if now is None:
             raise CubeError(f"window {window!r} is not published")
-        rows = self.spark.read.parquet(f"{self._folder('states', window, now.revision, now.run_id)}/data").drop("bucket_day")
-        return rows.where((F.col("window_id") == window) & (F.col("revision") == now.revision))
+        return f"{self._folder('states', window, now.revision, now.run_id)}/data"
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*folders)
+
+    def read(self, window: str) -> DataFrame:
+        """Rows of the window's current revision, from the folder of its run alone."""
+        return self._rows([self._current(window)])
 
     def read_many(self, windows: list[str]) -> DataFrame | None:
-        out = None
-        for w in windows:
-            out = self.read(w) if out is None else out.unionByName(self.read(w))
-        return out
+        """Rows of several windows in one scan; None of no window."""
+        return self._rows([self._current(w) for w in dict.fromkeys(windows)]) if windows else None
 
     def visible(self) -> DataFrame:
-        """All published rows: everything ever appended, less what the publications don't name, by a semi-join on (window, revision, run)."""
-        every = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{self.base}/states")
+        """All published rows: the folders of the runs that the publications name, joined with these on (window, revision, run), so that nothing else counts that a folder may hold."""
         pubs = [(w, p.revision, p.run_id) for w, p in self.control.publications(self.cube).items()]
         names = self.spark.createDataFrame(pubs, "window_id string, revision long, run_id string")
+        folders = [f"{self._folder('states', *p)}/data" for p in pubs]
+        every = self._rows(folders) if folders else self._rows([f"{self.base}/states"])
         return every.join(names, ["window_id", "revision", "run_id"], "left_semi")
 
     def registry(self) -> DataFrame:

@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import show_resolution
-from ..operators.temporal_cube import build_temporal, rollup_states, state_column
+from ..operators.temporal_cube import build_temporal, rollup_states
 from ..spec import CubeSpec
 
-_MERGING = ("sum", "count", "min", "max", "avg")
-
-
 def partial_states(spec: CubeSpec, path: str):
     """A function for ``foreachBatch``: the batch's states under its number, so a batch that is played again replaces itself."""
 
@@ -32,10 +29,9 @@ def start(stream: DataFrame, spec: CubeSpec, path: str, checkpoint: str, once: b
 
 
 def merged_states(spark, spec: CubeSpec, path: str) -> DataFrame:
-    """All batches merged: sums, counts, extremes and averages; other states stay in their batches."""
+    """All batches merged, whatever their states: a row per bucket and cell."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema(_schema(spec)).parquet(f"{path}/*/states")
-    kept = CubeSpec(spec.api_version, spec.name, spec.dimensions, spec.rules, tuple(m for m in spec.measures if m.agg in _MERGING), spec.include_global, spec.temporal)
-    return rollup_states(rows.select("bucket_start", "xunit_id", *[state_column(m) for m in kept.measures]), kept, spec.temporal.base)
+    return rollup_states(rows, spec, spec.temporal.base)
 
 
 def _schema(spec: CubeSpec):
