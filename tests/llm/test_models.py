@@ -35,6 +35,7 @@ def test_topk_over_tables(spark, monkeypatch, with_clashes):
 
     monkeypatch.setattr(M, "SHARD_ROWS", 40)
     monkeypatch.setattr(M, "QUERY_ROWS", 5)
+    monkeypatch.setattr(M, "PAGE", 8)
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(0, 1, 4).round(3).tolist()) for i in range(120)] + [(i, [0.5, -0.5, 0.25, 1.0]) for i in range(200, 260)]
     odd = [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan")] * 4), (303, [float("inf")] * 4), (None, [1.0] * 4)]
@@ -52,6 +53,30 @@ def test_topk_over_tables(spark, monkeypatch, with_clashes):
     assert top_k(v.where("vec_id < 3"), v.where("vec_id = 0")).count() == 2
 
 
+def test_large_products_are_exact_or_refused(spark):
+    rng = np.random.default_rng(7)
+    v = rng.integers(-(2**22), 2**22, (600, 64)).astype(float)
+    ids = np.arange(600)
+    rows = list(zip(ids.tolist(), v.astype(int).tolist(), strict=True))
+    assert MTree(ids, v).search(v[:6], ids[:6], 20) == [best(rows, r, i, 20) for i, r in rows[:6]]
+    huge = spark.createDataFrame([(1, [2.0**27] * 4), (2, [1.0] * 4)], "vec_id long, v array<double>")
+    with pytest.raises(ValueError):
+        top_k(huge, huge)
+
+
+def test_bounds_spare_distances():
+    rng = np.random.default_rng(8)
+    v = (rng.integers(-3000, 3000, (40, 8))[np.arange(4000) % 40] + rng.integers(-3, 4, (4000, 8))).astype(float)
+    tree = MTree(np.arange(4000), v)
+    asked = v[:20]
+    got = tree.search(asked, np.arange(20), 10)
+    assert got == [best(list(enumerate(v.tolist())), q, i, 10) for i, q in enumerate(asked.tolist())]
+    assert tree.computed < 0.2 * 4000 * 20
+    spent = tree.computed
+    tree.search(asked, np.arange(20), 10, np.array([g[-1][0] for g in got]))
+    assert tree.computed - spent <= spent
+
+
 # ---- classifier ------------------------------------------------------------------------------------------------------
 
 
