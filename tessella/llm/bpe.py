@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 #: Entries of either generation of a worker's memory of encoded words; longer words are not remembered.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 60_000, 64
 #: Characters of texts that are encoded at once, and bytes from which on a fragment is merged by itself.
 AT_ONCE, LONG = 2_000_000, 48
 _NEVER = np.int64(1) << 31

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -46,11 +47,11 @@ def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete what ``store`` wrote; nothing lazy may still read it."""
+def drop(df: DataFrame, part: str = "") -> None:
+    """Delete what ``store`` wrote, or the folder ``part`` of it (``column=value``); nothing lazy may still read it."""
     path, spark = getattr(df, "_stored_at", None), df.sparkSession
     if path:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
@@ -59,17 +60,17 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: of one orderable type) as (node, root), root the least node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) as joins on
     a minimum per node: minima are combined map-side and a node of huge degree is
     a skewed join that adaptive execution splits. Nulls and loops are dropped; an
-    empty input gives an empty result. Ends when no edge changes.
+    empty input gives an empty result. Ends when no edge changes, after a number of rounds that grows with the logarithm of the nodes.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur, before = store(e, "cc"), None
-    for _ in range(max_rounds):
+    while True:
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -84,8 +85,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -130,6 +129,19 @@ def split_by(docs: DataFrame, keys: DataFrame, doc_id: str = "doc_id", th: str =
     return marked.where(hit).select(*docs.columns), marked.where(~hit).select(*docs.columns)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Python workers get this many rows at once: batches of long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get this many rows at once: batches of long texts stay small. Holds for the session, until ``settings_kept`` ends."""
+    spark.conf.set(_BATCH, rows)
+
+
+@contextmanager
+def settings_kept(spark: SparkSession):
+    """Afterwards the session has the settings it had before."""
+    before = spark.conf.get(_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)

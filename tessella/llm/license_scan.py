@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, fresh
 
 #: Normalised sentence -> identifier.
 SENTENCES = {
@@ -99,16 +99,16 @@ def scan_licenses(docs: DataFrame, text: str = "text", known=SENTENCES | NOTICES
     stand one after the other among those not yet taken, so rules given first win.
     licenses: names of rules that took something, distinct, in rule order;
     leftover_ids: known sentences no rule took. Null and empty texts have 0 sentences
-    and empty lists. One row in, one row out, no shuffle: hot sources and copies cost nothing extra.
+    and empty lists; an empty table gives no rows. One row in, one row out, no shuffle: hot sources and copies cost nothing extra. Columns named as the new ones are replaced.
     """
     out = docs.withColumns({"n_sentences": F.size(sentences(F.col(text))).cast("long"), "sentence_ids": known_sentences(F.col(text), known)})
-    out = out.withColumn("_left", F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(",")))
+    steps = fresh([*out.columns, "licenses", "leftover_ids"], *[f"left{i}" for i in range(len(rules) + 1)])
+    out = out.withColumn(steps[0], F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(",")))
     names = []
-    for i, (name, seq) in enumerate(rules):
+    for (name, seq), before, after in zip(rules, steps, steps[1:], strict=False):
         want = "," + ",,".join(seq) + ","
-        names.append(F.when(F.instr(F.col(f"_l{i}"), want) > 0, F.lit(name)))
-        out = out.withColumn(f"_l{i}", F.col("_left") if i == 0 else F.replace(F.col(f"_l{i - 1}"), F.lit("," + ",,".join(rules[i - 1][1]) + ","), F.lit(",#,")))
-    last = F.replace(F.col(f"_l{len(rules) - 1}"), F.lit("," + ",,".join(rules[-1][1]) + ","), F.lit(",#,"))
-    left = F.filter(F.split(last, ","), lambda x: (x != "") & (x != "#"))
+        names.append(F.when(F.instr(F.col(before), want) > 0, F.lit(name)))
+        out = out.withColumn(after, F.replace(F.col(before), F.lit(want), F.lit(",#,")))
+    left = F.filter(F.split(steps[-1], ","), lambda x: (x != "") & (x != "#"))
     out = out.withColumns({"licenses": F.array_distinct(F.array_compact(F.array(*names))), "leftover_ids": left})
-    return out.drop("_left", *[f"_l{i}" for i in range(len(rules))])
+    return out.drop(*steps)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import drop, store
 
 #: Bytes of text for each room, about; tokens that a task sorts at once; texts of such a lot at most.
-ROOM_BYTES, LOT_TOKENS, LOT_TEXTS = 16_000_000, 3_000_000, 65_535
+ROOM_BYTES, LOT_TOKENS, LOT_TEXTS = 16_000_000, 2_000_000, 65_535
 #: A context is frequent, and dealt to several rooms, if it holds this part of a room; texts are sampled to find them: bytes for each room. This deals out work and changes no count.
 FREQUENT, SAMPLE_BYTES = 0.25, 100_000
 #: Sweeps before samples are taken, and samples.
@@ -391,7 +391,7 @@ def _seat_parent(disc: float, total_tables: float, words_seen: int, number: int,
         out += [(int(r), ANSWER, shard, pack(value[some[a:b]])) for r, a, b in zip(rooms.tolist(), limit, limit[1:], strict=False)]
         if keep:
             limit = np.append(0, np.cumsum(sizes)).tolist()
-            out += [(int(r), ASK, shard * 64 + number, pack(value[at[a:b]], customers[at[a:b]])) for r, a, b in zip(rooms.tolist(), limit, limit[1:], strict=False)]
+            out += [(int(r), ASK, shard * 64 + number, pack(value[at[a:b]], customers[at[a:b]] if number == BURN_IN else customers[:0])) for r, a, b in zip(rooms.tolist(), limit, limit[1:], strict=False)]
         return _rows(out)
 
     return run
@@ -488,7 +488,8 @@ def _score(disc: float, parent_disc: float, sums: dict[int, tuple[float, float]]
             n, t0 = sums[at]
             prior = (np.concatenate([x[0] for x in parts]).astype(float) + (STRENGTH + parent_disc * t0) / (words_seen + 1)) / (STRENGTH + n)
             p = p + back[k][ui] * prior[wi] / SAMPLES
-        count = np.concatenate([x[1] for x in parts]).astype(np.int64)
+            if k == 0:  # the first sample carries the words' own counts as well
+                count = np.concatenate([x[1] for x in parts]).astype(np.int64)
         log, base, known = np.log10(p), np.log10((count + 1.0) / (tokens + words_seen + 1))[wi], (count > 0)[wi]
         pair = np.repeat(np.arange(len(wi)), seen)
         doc, lot = doc.astype(np.int64), lot.astype(np.int64)
@@ -582,6 +583,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
     packed = step(_lots(own, rooms, share(frequent)), _gather(rooms), "rooms")
     disc = discount(*sums(packed, STATE))
     parent = step(of(packed, ASK), _open_parent, "parent")
+    drop(packed, f"kind={ASK}")
     tokens, types = (int(x) for x in sums(parent, PARENT))
     parent_disc = discount(*sums(parent, SUMS))
     customers = share(_shared(of(packed, STATE), frequent, "customers"))
@@ -589,7 +591,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
     for number in range(BURN_IN + SAMPLES):
         keep = number >= BURN_IN
         new = step(of(parent, PARENT).unionByName(of(parent if number == 0 else seated, TABLES)), _seat_parent(parent_disc, tables, types, number, keep), "parent")
-        if parent not in kept:
+        for kind in (PARENT, ANSWER) if number > BURN_IN else ():  # of a sample, what it tells of all words stays
+            drop(parent, f"kind={kind}")
+        if number <= BURN_IN:
             drop(parent)
         parent = new
         total = sums(parent, SUMS)
@@ -602,6 +606,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
         if seated is not packed:
             drop(seated)
         seated = new
+    for kind in (PARENT, ANSWER):
+        drop(parent, f"kind={kind}")
     every = of(packed, PAIRS, SEATS).unionByName(of(seated, STATE))
     for k in kept:
         every = every.unionByName(of(k, ASK))

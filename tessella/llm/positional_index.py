@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import store
 
 #: Words of a segment, about; a single longer document is one segment.
-SEGMENT_WORDS = 3_000_000
+SEGMENT_WORDS = 1_000_000
 #: Bytes of benchmark texts that the driver and a worker hold at once; a larger benchmark goes through in blocks of about this size.
 BLOCK_BYTES = 8_000_000
 

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store
+from .common import fresh, store
 
-#: Random features, kernel width over standardised statistics, ridge weight per row, calibration bins.
-FEATURES, WIDTH, RIDGE, BINS = 256, 3.0, 1e-4, 1000
+#: Random features, kernel width over standardised statistics, ridge weight per row, calibration bins, parts of the labelled rows that are scored by weights of the others for calibration.
+FEATURES, WIDTH, RIDGE, BINS, PARTS = 256, 3.0, 1e-4, 1000, 5
 SEED = 20
 NAMES = ["words", "bytes", "word_length", "upper", "digits", "symbols", "bars", "bangs", "stops", "foreign", "distinct", "top", "pairs", "fours", "lines", "line_words", "blanks"]
 
@@ -43,12 +43,13 @@ def statistics(text: str | None) -> list[float]:
 def with_statistics(docs: DataFrame, text: str = "text", into: str = "stats") -> DataFrame:
     """``docs`` with the array ``into`` of its text's statistics; one row in, one row out."""
     rest = docs.drop(into)
+    (own_text,) = fresh([*rest.columns, into], "text")
 
     def run(batches):
         for pdf in batches:
-            yield pdf.drop(columns="_t").assign(**{into: [statistics(t if isinstance(t, str) else None) for t in pdf["_t"].tolist()]})
+            yield pdf.drop(columns=own_text).assign(**{into: [statistics(t if isinstance(t, str) else None) for t in pdf[own_text].tolist()]})
 
-    own = rest.withColumn("_t", F.col(text))
+    own = rest.withColumn(own_text, F.col(text))
     return own.mapInPandas(run, T.StructType([*rest.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))]))
 
 
@@ -90,38 +91,54 @@ def isotonic(weight: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, every: DataFrame) -> Model:
-    """``labelled``: (stats, y); ``every``: (stats), for the standardisation. Without labels every score is 0.5."""
+    """``labelled``: (doc_id, stats, y); ``every``: (stats), for the standardisation. Without labels every score is 0.5.
+
+    Calibration is fitted to scores of rows that the weights behind them have not seen.
+    """
     cols = [f(F.col("stats")[i].cast("double")) for i in range(len(NAMES)) for f in (F.avg, F.stddev_pop)]
     moments = [x or 0.0 for x in every.agg(*cols).first()]
     model = Model(moments[0::2], moments[1::2])
     size = FEATURES + 1
+    labelled = labelled.select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
+
+    def packed(total):
+        some = [p for p in range(PARTS) if total[p].any()]
+        return pd.DataFrame({"part": some, "sums": [total[p].tobytes() for p in some]})
 
     def sums(batches):
-        total = np.zeros((size, size + 1))
+        total = np.zeros((PARTS, size, size + 1))
         for pdf in batches:
-            z, y = model.features(_stacked(pdf["stats"])), pdf["y"].to_numpy(float)
-            total += z.T @ np.column_stack([z, y])
-        if total.any():
-            yield pd.DataFrame({"part": [total.tobytes()]})
+            z, y, part = model.features(_stacked(pdf["stats"])), pdf["y"].to_numpy(float), pdf["part"].to_numpy()
+            for p in np.unique(part).tolist():
+                at = part == p
+                total[p] += z[at].T @ np.column_stack([z[at], y[at]])
+        yield packed(total)
 
     def add(batches):
-        total = np.zeros(size * (size + 1))
+        total = np.zeros((PARTS, size * (size + 1)))
         for pdf in batches:
-            for part in pdf["part"]:
-                total += np.frombuffer(part)
-        if total.any():
-            yield pd.DataFrame({"part": [total.tobytes()]})
-
-    parts = labelled.mapInPandas(sums, "part binary").repartition(8).mapInPandas(add, "part binary").collect()
-    total = sum((np.frombuffer(bytes(r["part"])).reshape(size, size + 1) for r in parts), np.zeros((size, size + 1)))
-    rows = total[-1, size - 1]
-    if rows == 0:
+            for p, raw in zip(pdf["part"].tolist(), pdf["sums"].tolist(), strict=True):
+                total[p] += np.frombuffer(raw)
+        yield packed(total)
+
+    total = np.zeros((PARTS, size, size + 1))
+    for r in labelled.mapInPandas(sums, "part int, sums binary").repartition(8).mapInPandas(add, "part int, sums binary").collect():
+        total[r["part"]] += np.frombuffer(bytes(r["sums"])).reshape(size, size + 1)
+
+    def solved(t):
+        rows = t[-1, size - 1]
+        return np.linalg.solve(t[:, :size] + RIDGE * rows * np.eye(size), t[:, size]) if rows else None
+
+    model.weights = solved(total.sum(axis=0))
+    if model.weights is None:
         return model
-    model.weights = np.linalg.solve(total[:, :size] + RIDGE * rows * np.eye(size), total[:, size])
+    unseen = [solved(total.sum(axis=0) - total[p]) for p in range(PARTS)]
+    unseen = np.stack([model.weights if w is None else w for w in unseen])  # all labels in one part: nothing else is known
 
     def bins(batches):
         for pdf in batches:
-            raw = np.clip(model.raw(_stacked(pdf["stats"])), -0.5, 1.5)
+            z = model.features(_stacked(pdf["stats"]))
+            raw = np.clip((z * unseen[pdf["part"].to_numpy()]).sum(axis=1), -0.5, 1.5)
             yield pd.DataFrame({"bin": ((raw + 0.5) / 2 * BINS).astype(int), "y": pdf["y"].to_numpy(float)})
 
     found = sorted(labelled.mapInPandas(bins, "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect())
@@ -163,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, label: str = "qual
     if stats is None:
         stats = store(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
     known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
-    return fit(store(stats.where(~held_out(F.col("doc_id"), folds)).join(known, "doc_id").select("stats", "y"), "labelled"), stats)
+    return fit(store(stats.where(~held_out(F.col("doc_id"), folds)).join(known, "doc_id").select("doc_id", "stats", "y"), "labelled"), stats)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, label: str = "quality") -> DataFrame:

@@ -187,12 +187,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, text: s
     Repeated rows give repeated rows. An empty table gives no rows.
     """
     own = store(fingerprints(docs, text, words, doc_id), "fingerprints")
-    distinct = store(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = store(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct")
     found = components(near_links(distinct, threshold))
     least = found.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     named = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(every, "fp").select("doc_id", "fp", "component_id")
+    every = distinct.join(named, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id"))
+    return _handed_out(own, every)
+
+
+def _handed_out(own: DataFrame, every: DataFrame) -> DataFrame:
+    """Rows of ``own`` (doc_id, fp) with the component of their fingerprint. Fingerprints of over a thousandth of all rows, so fewer than a thousand, are broadcast: their rows stay where they are."""
+    every = store(every, "components")
+    most = F.lit((every.agg(F.sum("rows")).first()[0] or 0) / 1000)
+    hot = every.where(F.col("rows") > most).select(F.col("fp").alias("hot"), F.col("component_id").alias("at"))
+    marked = own.join(F.broadcast(hot), F.col("fp") == F.col("hot"), "left")
+    rest = marked.where("hot IS NULL").select("doc_id", "fp").join(every.where(F.col("rows") <= most).drop("rows"), "fp").select("doc_id", "fp", "component_id")
+    return marked.where("hot IS NOT NULL").select("doc_id", "fp", F.col("at").alias("component_id")).unionByName(rest)
 
 
 # ---- links by similarity of shingles -----------------------------------------------------------------------------

@@ -91,7 +91,7 @@ def test_classifier(spark, documents, odd, no_documents, with_clashes):
     bad = lambda: " ".join(w + "%%% |" for w in rng.choice(["BUY", "NOW", "!!!"], 40))
     rows = [(i, good() if i % 2 else bad()) for i in range(600)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(600)] + [(0, None, 0), (None, 1, 0), (9999, 1, 1)], "doc_id long, quality int, toxic int")
-    got = classify(with_clashes(documents(rows), "stats", "score", "y"), labels).collect()
+    got = classify(with_clashes(documents(rows), "stats", "score", "y", "part", "_t", "__text"), labels).collect()
     assert len(got) == 600 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
     held = [r for r in got if r["held_out"]]
     assert {r["doc_id"] for r in held} == {i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0}
@@ -101,6 +101,38 @@ def test_classifier(spark, documents, odd, no_documents, with_clashes):
     assert len(statistics(None)) == len(NAMES) == len(statistics("a | b!")) and all(map(math.isfinite, statistics("x" * 100_000)))
 
 
+def test_scores_are_those_of_plain_least_squares(spark, documents):
+    """The same model with all rows in one matrix, and isotonic values by their max-min formula."""
+    from tessella.llm import quality_rff as Q
+
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(["the", "of", "BUY", "12", "x|", "stone,"], int(rng.integers(1, 60))))) for i in range(300)]
+    label = {i: int(rng.random() < (0.9 if "BUY" not in t else 0.2)) for i, t in rows}
+    labels = spark.createDataFrame([(i, y, 0) for i, y in label.items()], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in classify(documents(rows), labels).collect()}
+    stats = np.array([statistics(t) for _, t in rows])
+    part = {r[0]: r[1] for r in spark.range(300).select("id", F.pmod(F.xxhash64("id"), F.lit(Q.PARTS))).collect()}
+    model = Q.Model(stats.mean(axis=0), stats.std(axis=0))
+    z, y, part = model.features(stats), np.array([label[i] for i, _ in rows], float), np.array([part[i] for i, _ in rows])
+    learnt = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows])
+
+    def weights(at):
+        return np.linalg.solve(z[at].T @ z[at] + Q.RIDGE * at.sum() * np.eye(z.shape[1]), z[at].T @ y[at])
+
+    unseen = np.zeros(300)
+    for p in range(Q.PARTS):
+        at = part == p
+        unseen[at] = z[at] @ weights(learnt & ~at)
+    bins = ((np.clip(unseen, -0.5, 1.5) + 0.5) / 2 * Q.BINS).astype(int)
+    knots = np.unique(bins[learnt])
+    n = np.array([(bins[learnt] == b).sum() for b in knots], float)
+    total = np.array([y[learnt][bins[learnt] == b].sum() for b in knots])
+    mean = lambda a, b: total[a : b + 1].sum() / n[a : b + 1].sum()
+    value = [max(min(mean(a, b) for b in range(i, len(knots))) for a in range(i + 1)) for i in range(len(knots))]
+    want = np.interp(z @ weights(learnt), (knots + 0.5) / Q.BINS * 2 - 0.5, value)
+    assert max(abs(got[i] - want[k]) for k, (i, _) in enumerate(rows)) < 1e-6
+
+
 def test_labels_of_held_out_rows_are_not_learnt(spark, documents):
     docs = documents([(i, f"text {i} " * (i % 9 + 1)) for i in range(300)])
     out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
@@ -217,7 +249,7 @@ def test_scores_agree_with_a_sampler_by_hand(documents, monkeypatch):
     train, out = [i for i in range(100) if not held(i)][:16], [i for i in range(100) if held(i)][:2]
     rows = [*zip(train, texts, strict=True), (out[0], ["a", "a", "new", "b"]), (out[1], ["e", "c", "d"])]
     want = gibbs_by_hand(texts, 400, rng)
-    monkeypatch.setattr(py, "SAMPLES", 40)
+    monkeypatch.setattr(py, "SAMPLES", 16)
     got = {r["doc_id"]: r["score"] for r in py.score(documents([(i, " ".join(t)) for i, t in rows])).collect()}
     known = {w for t in texts for w in t}
     name = lambda w: w if w in known or not w else "?"
@@ -236,6 +268,8 @@ def test_scores(spark, documents, odd, no_documents, with_clashes, monkeypatch):
         return " ".join(w).upper()
 
     rows = [(i, text()) for i in range(200)] + [(1000, None), (1001, ""), (1002, "never seen W1"), (None, text()), (3, text())]
+    monkeypatch.setattr(py, "BURN_IN", 1)
+    monkeypatch.setattr(py, "SAMPLES", 1)
     for room in (16_000_000, 4000):
         monkeypatch.setattr(py, "ROOM_BYTES", room)
         got = py.score(with_clashes(documents(rows), "held_out", "others", "row", "c", "key", "kind")).collect()
@@ -265,6 +299,7 @@ def test_scores_do_not_depend_on_how_texts_are_dealt(spark, documents, monkeypat
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(rng.choice([f"v{k * k % 37}" for k in range(60)], 30))) for i in range(120)]
     monkeypatch.setattr(py, "ROOM_BYTES", 3000)
+    monkeypatch.setattr(py, "BURN_IN", 1)
     seen = []
     for parts, lot, order in ((1, 3_000_000, rows), (5, 400, rows[::-1])):
         monkeypatch.setattr(py, "LOT_TOKENS", lot)
@@ -272,7 +307,8 @@ def test_scores_do_not_depend_on_how_texts_are_dealt(spark, documents, monkeypat
     assert seen[0] == seen[1]
 
 
-def test_texts_seen_twice_score_higher(documents):
+def test_texts_seen_twice_score_higher(documents, monkeypatch):
+    monkeypatch.setattr(py, "SAMPLES", 1)
     rng = np.random.default_rng(6)
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     train = [i for i in range(900) if not held(i)]

@@ -23,7 +23,8 @@ from tessella.llm.substring_dedup import dedup_substrings
 def test_licenses(documents, odd, no_documents, with_clashes):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. Hello there!\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
     docs = documents([(1, mit), (2, "x. Released under the MIT License. Y? Licensed under CC BY-NC 4.0."), (3, "All rights reserved."), (4, "Licensed  under the Apache License,\tVersion 2.0.\nYou may not use this file except in compliance with the License."), (5, "the MIT License released under")])
-    got = {r["doc_id"]: r for r in license_scan.scan_licenses(with_clashes(docs, "licenses", "sentence_ids", "n_sentences", "_left")).collect()}
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(with_clashes(docs, "licenses", "sentence_ids", "n_sentences", "_left", "_l0", "_s", "__left0", "__left1")).collect()}
+    assert {(r["_left"], r["_l0"], r["_s"], r["__left0"], r["__left1"]) for r in got.values()} == {("mine",) * 5}
     assert got[1]["licenses"] == ["MIT"] and got[1]["sentence_ids"] == ["MitGrant", "MitNotice", "AsIs"] and got[1]["n_sentences"] == 4
     assert got[2]["licenses"] == ["MIT", "CC-BY-NC-4.0"] and got[3]["leftover_ids"] == ["AllRights"] and got[3]["licenses"] == []
     assert got[4]["licenses"] == ["Apache-2.0"] and got[4]["leftover_ids"] == [] and got[5]["sentence_ids"] == []
