@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, give_back
 
 #: Entries of either generation of a worker's memory of encoded words; longer words are not remembered.
 REMEMBERED, LONGEST = 60_000, 64
@@ -270,6 +270,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", decode: bool = True,
                 got = codec.encode_texts(texts[lo:hi])
                 new = {into[0]: [i for i, _ in got]} | ({into[1]: [d for _, d in got]} if decode else {})
                 yield pd.concat([pdf.iloc[lo:hi].drop(columns=own_text).reset_index(drop=True), pd.DataFrame(new)], axis=1)
+        give_back()
 
     from pyspark.sql import types as T
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,14 +49,35 @@ def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def store_dealt(df: DataFrame, name: str, by: str, key: str, buckets: int) -> DataFrame:
+    """As ``store``, in ``buckets`` by a hash of ``key``: what is later grouped by that key need not be shuffled again."""
+    spark, label = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}"
+    df.write.partitionBy(by).bucketBy(buckets, key).option("path", path).saveAsTable(label, format="parquet")
+    out = spark.table(label).select(*df.columns)
+    out._stored_at, out._label = path, label
+    return out
+
+
 def drop(df: DataFrame, part: str = "") -> None:
     """Delete what ``store`` wrote, or the folder ``part`` of it (``column=value``); nothing lazy may still read it."""
     path, spark = getattr(df, "_stored_at", None), df.sparkSession
+    if getattr(df, "_label", None) and not part:
+        spark.sql(f"DROP TABLE IF EXISTS {df._label}")
     if path:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def give_back() -> None:
+    """In a Python worker: memory that is free but still held goes back to the system, so that the next task finds it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        pass
+
+
 def ascii_lower(col):
     """Lower-cases A-Z alone."""
     return F.translate(col, UPPER, LOWER)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, store
+from .common import drop, give_back, store, store_dealt
 
 #: Bytes of text for each room, about; tokens that a task sorts at once; texts of such a lot at most.
 ROOM_BYTES, LOT_TOKENS, LOT_TEXTS = 16_000_000, 2_000_000, 65_535
@@ -205,6 +205,17 @@ def _rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(*r, *(0.0,) * (6 - len(r))) for r in rows], columns=["key", "kind", "src", "data", "x", "y"])
 
 
+def _lean(function):
+    """``function``, which gives its memory back when it is done."""
+
+    def run(*frames):
+        out = function(*frames)
+        give_back()
+        return out
+
+    return run
+
+
 def _heads(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
@@ -242,9 +253,10 @@ class _Lot:
         tokens = [self.tokens[k] for k in order]
         end = np.zeros(1, np.int32)
         size = np.array([len(t) + 1 for t in tokens])
-        word = np.concatenate([x for t in tokens for x in (t, end)]).astype(np.int64)
-        context = np.concatenate([x for t in tokens for x in (end, t)]).astype(np.int64)
-        doc = np.repeat(np.arange(len(tokens)), size)
+        word = np.concatenate([x for t in tokens for x in (t, end)])
+        context = np.concatenate([x for t in tokens for x in (end, t)])
+        doc = np.repeat(np.arange(len(tokens), dtype=np.int32), size)
+        self.tokens, tokens = [], None
         name = np.fromiter(map(xxhash.xxh3_64_intdigest, self.local), np.uint64, len(self.local))
         room = (name % np.uint64(self.rooms)).astype(np.int64)[context]
         if len(self.frequent):
@@ -257,6 +269,7 @@ class _Lot:
         many = len(self.local)
         place, seat = np.unique(room * many + context, return_inverse=True)
         key = seat.reshape(-1) * many + word
+        del room, context, word, seat
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
@@ -286,8 +299,11 @@ def _lots(texts: DataFrame, rooms: int, frequent) -> DataFrame:
                 if held.add(None if pd.isna(i) else int(i), bool(h), t if isinstance(t, str) else None):
                     yield held.rows(part + number)
                     number += 1
+                    give_back()
         if held.ids:
             yield held.rows(part + number)
+        del held
+        give_back()
 
     return texts.mapInPandas(run, _ROW)
 
@@ -298,29 +314,32 @@ def _gather(rooms: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         meta = pdf[pdf["kind"] == META]
         out = [(r.src, META, r.src, r.data) for r in meta.itertuples()]
-        lots = pdf[pdf["kind"] == LOT].sort_values("src")
+        lots = pdf[pdf["kind"] == LOT].sort_values("src").copy()
         if not len(lots):
             return _rows(out)
         room = int(pdf["key"].iloc[0])
         got = [unpack(d) for d in lots["data"]]
-        context = np.concatenate([np.repeat(g[0], g[1]) for g in got])
-        word = np.concatenate([g[2][g[3]] for g in got])
-        seen = np.concatenate([g[4] for g in got]).astype(np.int64)
-        doc = np.concatenate([g[5] for g in got]).astype(np.int64)
-        lot = np.repeat(np.arange(len(got)), [len(g[5]) for g in got])
+        u, ui = np.unique(np.concatenate([np.repeat(g[0], g[1]) for g in got]), return_inverse=True)
+        w, wi = np.unique(np.concatenate([g[2][g[3]] for g in got]), return_inverse=True)
+        seen = np.concatenate([g[4] for g in got])
+        doc = np.concatenate([g[5] for g in got])
+        lot = np.repeat(np.arange(len(got), dtype=np.int32), [len(g[5]) for g in got])
         train = np.concatenate([g[5] < g[6][0] for g in got])
-        del got
-        u, ui = np.unique(context, return_inverse=True)
-        w, wi = np.unique(word, return_inverse=True)
+        del got, lots["data"], pdf
         shard = ((w >> np.uint64(20)) % np.uint64(rooms)).astype(np.int64)
         by = np.argsort(shard, kind="stable")
         back = np.empty(len(by), np.int64)
         back[by] = np.arange(len(by))
         w, shard, wi = w[by], shard[by], back[wi.reshape(-1)]
-        pair, at = np.unique(ui.reshape(-1) * len(w) + wi, return_inverse=True)
-        seat = np.repeat(at.reshape(-1), seen)
-        order = np.argsort(seat, kind="stable")
+        key = ui.reshape(-1) * len(w) + wi
+        del ui, wi, by, back
+        pair, at = np.unique(key, return_inverse=True)
+        del key
+        seat = np.repeat(at.reshape(-1).astype(np.int32), seen)
+        del at, seen
+        order = np.argsort(seat, kind="stable").astype(np.int32)
         seat, doc, lot, train = seat[order], doc[order], lot[order], train[order]
+        del order
         n = np.bincount(seat, minlength=len(pair))
         c = np.bincount(seat, train, minlength=len(pair)).astype(np.int64)
         ui, wi = pair // len(w), pair % len(w)
@@ -491,9 +510,8 @@ def _score(disc: float, parent_disc: float, sums: dict[int, tuple[float, float]]
             if k == 0:  # the first sample carries the words' own counts as well
                 count = np.concatenate([x[1] for x in parts]).astype(np.int64)
         log, base, known = np.log10(p), np.log10((count + 1.0) / (tokens + words_seen + 1))[wi], (count > 0)[wi]
-        pair = np.repeat(np.arange(len(wi)), seen)
-        doc, lot = doc.astype(np.int64), lot.astype(np.int64)
-        order = np.argsort(lot, kind="stable")
+        pair = np.repeat(np.arange(len(wi), dtype=np.int32), seen)
+        order = np.argsort(lot, kind="stable").astype(np.int32)
         pair, doc, lot = pair[order], doc[order], lot[order]
         out, limit = [], np.searchsorted(lot, np.arange(len(lots) + 1)).tolist()
         for name, a, b in zip(lots.tolist(), limit, limit[1:], strict=False):
@@ -570,7 +588,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
     share = spark.sparkContext.broadcast
 
     def step(rows: DataFrame, function, name: str) -> DataFrame:
-        out = store(rows.groupBy("key").applyInPandas(function, _ROW), name, by="kind")
+        one = lambda pdf: lean(pdf)
+        lean = _lean(function)
+        out = store(rows.groupBy("key").applyInPandas(one, _ROW), name, by="kind")
         _tidy(spark)
         return out
 
@@ -580,7 +600,11 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
     def sums(rows: DataFrame, kind: int) -> tuple[float, float]:
         return tuple(rows.where(F.col("kind") == kind).agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first())
 
-    packed = step(_lots(own, rooms, share(frequent)), _gather(rooms), "rooms")
+    gather = _lean(_gather(rooms))
+    gathered = _lots(own, rooms, share(frequent)).groupBy("key").applyInPandas(lambda pdf: gather(pdf), _ROW)
+    packed = store_dealt(gathered, "rooms", "kind", "key", min(rooms, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    del gathered
+    _tidy(spark)
     disc = discount(*sums(packed, STATE))
     parent = step(of(packed, ASK), _open_parent, "parent")
     drop(packed, f"kind={ASK}")
@@ -608,10 +632,14 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
         seated = new
     for kind in (PARENT, ANSWER):
         drop(parent, f"kind={kind}")
-    every = of(packed, PAIRS, SEATS).unionByName(of(seated, STATE))
+    found = of(seated, STATE)
     for k in kept:
-        every = every.unionByName(of(k, ASK))
-    scored = step(every, _score(disc, parent_disc, samples, types, float(tokens), rooms, customers), "sums")
+        found = found.unionByName(of(k, ASK))
+    function = _lean(_score(disc, parent_disc, samples, types, float(tokens), rooms, customers))
+    whole = of(packed, PAIRS, SEATS).groupBy("key").cogroup(found.groupBy("key")).applyInPandas(lambda left, right: function(pd.concat([left, right], ignore_index=True)), _ROW)
+    scored = store(whole, "sums", by="kind")
+    del whole
+    _tidy(spark)
     out = of(packed, META).unionByName(of(scored, SUMS)).groupBy("key").applyInPandas(_texts(tokens), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     out = store(out, "scores")
     for t in (packed, seated, scored, *kept):

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import give_back, store
 
 #: Words of a segment, about; a single longer document is one segment.
 SEGMENT_WORDS = 1_000_000
@@ -63,6 +63,7 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, doc_id: str =
                     vocab = {} if wanted is None else vocab
         if ids:
             yield _segment(number, ids, hashes, sizes, parts, vocab)
+        give_back()
 
     own = docs.select(F.col(doc_id).cast("long").alias("i"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     return own.mapInPandas(segments, INDEX_SCHEMA)

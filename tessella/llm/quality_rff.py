@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, store
+from .common import fresh, give_back, store
 
 #: Random features, kernel width over standardised statistics, ridge weight per row, calibration bins, parts of the labelled rows that are scored by weights of the others for calibration.
 FEATURES, WIDTH, RIDGE, BINS, PARTS = 256, 3.0, 1e-4, 1000, 5
@@ -48,6 +48,7 @@ def with_statistics(docs: DataFrame, text: str = "text", into: str = "stats") ->
     def run(batches):
         for pdf in batches:
             yield pdf.drop(columns=own_text).assign(**{into: [statistics(t if isinstance(t, str) else None) for t in pdf[own_text].tolist()]})
+        give_back()
 
     own = rest.withColumn(own_text, F.col(text))
     return own.mapInPandas(run, T.StructType([*rest.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))]))
@@ -166,6 +167,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "tex
         for pdf in batches:
             stats = np.array([statistics(t if isinstance(t, str) else None) for t in pdf[text].tolist()]).reshape(-1, len(NAMES))
             yield pdf[shared.value.score(stats) >= threshold]
+        give_back()
 
     return docs.mapInPandas(run, docs.schema)
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, split_by, store, whole_groups
+from .common import components, give_back, split_by, store, whole_groups
 
 #: (Distinct fingerprints up to, block length): shorter blocks give more anchors with fewer fingerprints at each.
 CODES = [(20_000, 7), (1_000_000, 5), (2**63, 3)]
@@ -292,6 +292,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
             sets = [shingle_set(t, words) for t in pdf["t"].tolist()]
             least = [np.array([(s * m).min() for m in odd]).tobytes() for s in sets]
             yield pd.DataFrame({"doc_id": pdf["i"], "node": [_named(s) for s in sets], "size": [len(s) for s in sets], "least": least, "prefix": [_prefix(s, similarity, frequent.value).tobytes() for s in sets]})
+        give_back()
 
     own = store(texts.mapInPandas(describe, "doc_id bigint, node bigint, size bigint, least binary, prefix binary"), "sets")
     nodes = store(own.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
@@ -307,6 +308,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
             for pdf in batches:
                 found = [shingle_set(t, words) for t in pdf["t"].tolist()]
                 yield pd.DataFrame({"node": [_named(s) for s in found], "shingles": [s.tobytes() for s in found]})
+            give_back()
 
         again = split_by(texts.withColumn("_z", F.lit(0)), holders, "i", "_z")[0].select("t").mapInPandas(shingled, "node bigint, shingles binary")
         known = store(again.join(asked, "node", "left_semi").dropDuplicates(["node"]), "shingles")
@@ -320,6 +322,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(common >= similarity * (len(x) + len(y) - common))
                 yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+            give_back()
 
         return store(both.select("a", "b", "x", "y").mapInPandas(check, "a bigint, b bigint"), "alike")
 
@@ -393,6 +396,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
                     a, b, held = [], [], 0
             if a:
                 yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+        give_back()
 
     found = some.repartition(parts, *crowd_keys).sortWithinPartitions(*crowd_keys).mapInPandas(pair, "a bigint, b bigint")
     second = verified(store(ordered(found), "pairs"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, fresh, split_by, store
+from .common import drop, fresh, give_back, split_by, store
 
 #: Words of a minimizer seed.
 SEED = 8
@@ -126,6 +126,8 @@ def pieces(docs: DataFrame, span: int = 50) -> DataFrame:
                     own = np.array(rows)[got[0]]
                     yield pd.DataFrame({"doc_id": ids[own], "th": ths[own]} | {k: x.astype(kind) for (k, kind), x in zip(_PIECE.items(), got[1:], strict=True)})
                     held, sizes, rows, total = [], [], [], 0
+        memory.clear()
+        give_back()
 
     return docs.mapInPandas(run, "doc_id bigint, th bigint, start int, n int, m bigint, s1 bigint, s2 bigint, before bigint, after bigint")
 
@@ -197,6 +199,7 @@ def verified(texts: DataFrame, span: int) -> DataFrame:
                     ids, ths, ranges, digests = [], [], [], []
             if digests:
                 yield _digested(ids, ths, ranges, digests)
+        give_back()
 
     return texts.select("doc_id", "th", "text", "spans").mapInPandas(run, "doc_id bigint, th bigint, range bigint, d1 bigint, d2 bigint")
 
