@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last the columns
-of documents, the last the token ids as well. Each works on all that its predecessor kept.
+of documents, the last the token ids as well. Each works on all that its predecessor kept; of an
+empty table it keeps nothing, and further columns of documents are left out.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, split_by, store
+from tessella.llm.common import drop, settings_kept, small_batches, split_by, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -85,8 +86,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written to the shared folder and read again."""
+    """All stages over ``documents``, each result written to the shared folder and read again; it goes when the next one stands. The session keeps its settings."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name)
+    with settings_kept(spark):
+        for name, stage in STAGES:
+            before, docs = docs, store(stage(spark, docs, sf_dir), name)
+            drop(before)
     return docs
