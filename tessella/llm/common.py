@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -69,6 +70,12 @@ def drop(df: DataFrame, part: str = "") -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Files of shuffles that nothing refers to any more go; Spark deletes them when the driver has collected their last reference."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def give_back() -> None:
     """In a Python worker: memory that is free but still held goes back to the system, so that the next task finds it."""
     pa.default_memory_pool().release_unused()

@@ -13,7 +13,6 @@ texts alone, and so do the seeds: the same texts give the same scores, however t
 
 from __future__ import annotations
 
-import gc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, give_back, store, store_dealt
+from .common import drop, give_back, store, store_dealt, tidy
 
 #: Bytes of text for each room, about; tokens that a task sorts at once; texts of such a lot at most.
 ROOM_BYTES, LOT_TOKENS, LOT_TEXTS = 16_000_000, 2_000_000, 65_535
@@ -565,12 +564,6 @@ def _frequent(own: DataFrame, size: int, rooms: int) -> dict[int, int]:
     return out
 
 
-def _tidy(spark) -> None:
-    """Files of shuffles that nothing refers to any more go."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = 7, fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
@@ -591,7 +584,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
         one = lambda pdf: lean(pdf)
         lean = _lean(function)
         out = store(rows.groupBy("key").applyInPandas(one, _ROW), name, by="kind")
-        _tidy(spark)
+        tidy(spark)
         return out
 
     def of(rows: DataFrame, *kinds: int) -> DataFrame:
@@ -604,7 +597,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
     gathered = _lots(own, rooms, share(frequent)).groupBy("key").applyInPandas(lambda pdf: gather(pdf), _ROW)
     packed = store_dealt(gathered, "rooms", "kind", "key", min(rooms, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     del gathered
-    _tidy(spark)
+    tidy(spark)
     disc = discount(*sums(packed, STATE))
     parent = step(of(packed, ASK), _open_parent, "parent")
     drop(packed, f"kind={ASK}")
@@ -639,7 +632,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: in
     whole = of(packed, PAIRS, SEATS).groupBy("key").cogroup(found.groupBy("key")).applyInPandas(lambda left, right: function(pd.concat([left, right], ignore_index=True)), _ROW)
     scored = store(whole, "sums", by="kind")
     del whole
-    _tidy(spark)
+    tidy(spark)
     out = of(packed, META).unionByName(of(scored, SUMS)).groupBy("key").applyInPandas(_texts(tokens), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     out = store(out, "scores")
     for t in (packed, seated, scored, *kept):

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, give_back, split_by, store, whole_groups
+from .common import components, drop, give_back, split_by, store, tidy, whole_groups
 
 #: (Distinct fingerprints up to, block length): shorter blocks give more anchors with fewer fingerprints at each.
 CODES = [(20_000, 7), (1_000_000, 5), (2**63, 3)]
@@ -296,7 +296,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
 
     own = store(texts.mapInPandas(describe, "doc_id bigint, node bigint, size bigint, least binary, prefix binary"), "sets")
     nodes = store(own.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    sets = own.join(nodes, ["node", "doc_id"]).dropDuplicates(["node"])
+    sets = store(own.join(nodes, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "doc_id", "size", "least", "prefix"), "distinct-sets")
+    tidy(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -324,7 +325,12 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
                 yield pdf.loc[np.array(ok, bool), ["a", "b"]]
             give_back()
 
-        return store(both.select("a", "b", "x", "y").mapInPandas(check, "a bigint, b bigint"), "alike")
+        out = store(both.select("a", "b", "x", "y").mapInPandas(check, "a bigint, b bigint"), "alike")
+        for t in (asked, holders, known, pairs):
+            drop(t)
+        del both, again
+        tidy(spark)
+        return out
 
     # first links, linear in the members of a group
     def by_least(batches):
@@ -336,6 +342,9 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     spread = store(sets.select("node", "doc_id", "size", "least").mapInPandas(by_least, "table int, least bigint, node bigint, doc_id bigint, size bigint"), "least")
     shared = spread.groupBy("table", "least").agg(F.min(F.struct("doc_id", "node", "size")).alias("low"), F.count("*").alias("n")).where("n > 1")
     met = store(spread.join(shared, ["table", "least"]), "met")
+    drop(spread)
+    del spread, shared
+    tidy(spark)
     # neighbours in order of ids and in an order by chance: members of a crowd are dealt to groups of a bounded size
     dealt = met.withColumn("g", F.pmod(F.xxhash64("doc_id", "table"), F.ceil(F.col("n") / 1000))).drop("low", "n")
 
@@ -357,7 +366,10 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     hub = met.where((F.col("node") != F.col("low.node")) & (F.least("size", "low.size") >= similarity * F.greatest("size", "low.size"))).select(F.col("node").alias("a"), F.col("low.node").alias("b"))
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     first = verified(store(ordered(near.unionByName(hub)), "pairs"))
+    drop(met)
+    del met, dealt, near, hub
     comps = components(first).select("node", F.col("root").alias("comp"))
+    tidy(spark)
 
     # every other pair
     with_comp = store(sets.select("node", "size", "prefix").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "prefixes")
@@ -376,6 +388,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     several = postings.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
     piece = max(2, PIECE // 4)
     live = store(several.select("s", F.ceil(F.col("n") / piece).cast("int").alias("k")), "live")
+    del several
+    tidy(spark)
     some = split_by(postings.withColumn("_z", F.lit(0)), live.select(F.col("s").alias("doc_id"), F.lit(0).alias("th")), "s", "_z")[0].drop("_z").join(live, "s")
     some = some.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     some = some.withColumns({"g": F.least("part", "q"), "h": F.greatest("part", "q")}).drop("q", "k")
@@ -399,9 +413,18 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
         give_back()
 
     found = some.repartition(parts, *crowd_keys).sortWithinPartitions(*crowd_keys).mapInPandas(pair, "a bigint, b bigint")
-    second = verified(store(ordered(found), "pairs"))
+    pairs = store(ordered(found), "pairs")
+    for t in (live, with_comp, sets):
+        drop(t)
+    del some, found, postings
+    tidy(spark)
+    second = verified(pairs)
 
     names = lambda k: nodes.select(F.col("node").alias(k), F.col("doc_id").alias(f"{k}_id"))
     links = first.unionByName(second).join(names("a"), "a").join(names("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     same = own.join(nodes.withColumnRenamed("doc_id", "b"), "node").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    return links.unionByName(same).where("a <> b")
+    out = store(links.unionByName(same).where("a <> b"), "links")
+    for t in (own, nodes, first, second):
+        drop(t)
+    tidy(spark)
+    return out
