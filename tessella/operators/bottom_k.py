@@ -1,5 +1,6 @@
 """Bottom-k hashes per cell. Spark has no aggregate that keeps the k least values and merges partial results, and
-ranking rows would shuffle every row once per shape; here each task reduces its rows to one packed array per cell, and arrays are merged in two steps.
+ranking rows would shuffle every row once per shape; here each task reduces its rows to one packed array per cell. Arrays of a cell then
+stream by in one task, which holds k hashes of it at a time, however many tasks there were before.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that a task reduces at once, and parts that a cell's arrays are merged in first.
-ROWS_AT_ONCE, PARTS = 400_000, 64
+#: Rows that a task reduces at once.
+ROWS_AT_ONCE = 400_000
 _SIGN = 1 << 63
 
 
@@ -76,18 +77,47 @@ def bottom_k_cells(rows: DataFrame, value: str, extra: list[str], flat: list[str
         if n:
             yield from _reduced(pd.concat(held, ignore_index=True), keys, shapes, k)
 
-    def least(blobs) -> np.ndarray:
-        return np.unique(np.frombuffer(b"".join(blobs), np.int64))[:k]
+    def merge(batches):
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            merged = _merged(pdf, keys, k)
+            held = merged.iloc[-1:]  # its cell may go on in the next batch
+            if len(merged) > 1:
+                yield _listed(merged.iloc[:-1], name)
+        if held is not None:
+            yield _listed(held, name)
+
+    parts = picked.mapInPandas(reduce, schema)
+    ordered = parts.repartition(*keys).sortWithinPartitions(*keys) if keys else parts.repartition(1)
+    out = ordered.mapInPandas(merge, T.StructType([*schema.fields[:-1], T.StructField(name, T.ArrayType(T.LongType()))]))
+    return out.select(*[F.timestamp_micros(c).alias(c) for c in extra], *flat, name)
+
 
-    @F.pandas_udf(T.BinaryType())
-    def packed(groups: pd.Series) -> pd.Series:
-        return pd.Series([bytes(g[0]) if len(g) == 1 else least(g).tobytes() for g in groups])
+def _merged(pdf: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
+    """Rows of one cell, which stand together, as one row with the k least hashes of all."""
+    new = np.zeros(len(pdf), bool)
+    new[0] = True
+    for c in keys:
+        code = pd.factorize(pdf[c])[0]
+        new[1:] |= code[1:] != code[:-1]
+    cell = np.cumsum(new) - 1
+    blobs = pdf["blob"].tolist()
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
+    h, at = np.frombuffer(b"".join(blobs), np.int64), np.repeat(cell, sizes)
+    order = np.lexsort((h, at))
+    h, at = h[order], at[order]
+    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])]) if len(h) else np.zeros(0, bool)
+    h, at = h[fresh], at[fresh]
+    begin = np.searchsorted(at, np.arange(cell[-1] + 1))
+    keep = np.arange(len(h)) - begin[at] < k
+    h, n = h[keep], np.bincount(at[keep], minlength=cell[-1] + 1) * 8
+    raw, ends = h.tobytes(), np.cumsum(n)
+    return pdf[new].assign(blob=[raw[a:b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)])
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def merged(groups: pd.Series) -> pd.Series:
-        return pd.Series([least(g) for g in groups])
 
-    parts = picked.mapInPandas(reduce, schema).withColumn("__p", F.pmod(F.xxhash64("blob"), F.lit(PARTS)))
-    some = parts.groupBy(*keys, "__p").agg(F.collect_list("blob").alias("b")).select(*keys, packed("b").alias("blob"))
-    out = some.groupBy(*keys).agg(F.collect_list("blob").alias("b"))
-    return out.select(*[F.timestamp_micros(c).alias(c) for c in extra], *flat, merged("b").alias(name))
+def _listed(pdf: pd.DataFrame, name: str) -> pd.DataFrame:
+    return pdf.drop(columns="blob").assign(**{name: [np.frombuffer(b, np.int64) for b in pdf["blob"]]})

@@ -114,7 +114,7 @@ def guard(base: DataFrame, layout: Layout) -> None:
             names |= {d.name, *(x.name for x in d.levels[:n])} if n else set()
     most = spec.max_dictionary_entries
     if layout.flat:
-        values = base.select(F.explode(F.array(*layout.flat)).alias("v")).where("v IS NOT NULL").distinct().limit(most + 1)
+        values = base.select(*layout.flat).distinct().select(F.explode(F.array(*layout.flat)).alias("v")).where("v IS NOT NULL").distinct().limit(most + 1)
         found = len(names) + values.where(~F.col("v").isin(sorted(names))).count()
     else:
         found = len(names)
