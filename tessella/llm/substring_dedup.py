@@ -156,13 +156,15 @@ def repeated_ranges(docs: DataFrame, span: int = 50) -> DataFrame:
     ends = [f(k).alias(k + end) for k in ("before", "after") for f, end in ((F.min, ""), (F.max, "_most"))]
     classes = store(shared.groupBy(*kind).agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("at"), F.max("doc_id").alias("most"), F.count("*").alias("pieces"), *ends), "classes")
     paths = store(unitigs(classes), "paths")
-    packed = lambda n, opened: (F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.shiftleft(n.cast("long"), 1)).bitwiseOR(F.lit(opened).cast("long"))).alias("span")
-    whole = shared.drop("n").join(paths, kind).select("doc_id", "th", packed(F.col("n"), 0))
+    packed = lambda start, n, opened: F.shiftleft(start.cast("long"), 32).bitwiseOR(F.shiftleft(n.cast("long"), 1)).bitwiseOR(F.lit(opened).cast("long"))
+    opened = F.array(packed(F.col("start"), F.col("n"), 1)).alias("spans")
+    by_text = shared.groupBy(*kind, "doc_id", "th").agg(F.collect_list("start").alias("starts"))  # a text that repeats a piece has it in one row
+    whole = by_text.join(paths, kind).select("doc_id", "th", F.transform("starts", lambda s: packed(s, F.col("n"), 0)).alias("spans"))
     branching = store(classes.groupBy("m").count().where("count > 1").select("m"), "branching")
     branches = store(classes.join(branching, "m", "left_semi").select(*kind, "n", "at", "pieces"), "branches")
-    once = branches.where("pieces = 1").select(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), F.col("at.start").alias("start"), "n").select("doc_id", "th", packed(F.col("n"), 1))
-    more = shared.join(branches.where("pieces > 1").select(*kind, F.col("at.doc_id").alias("doc_id")), [*kind, "doc_id"], "left_semi").select("doc_id", "th", packed(F.col("n"), 1))
-    spans = store(whole.unionByName(once).unionByName(more).groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans")), "spans")
+    once = branches.where("pieces = 1").select(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), F.col("at.start").alias("start"), "n").select("doc_id", "th", opened)
+    more = shared.join(branches.where("pieces > 1").select(*kind, F.col("at.doc_id").alias("doc_id")), [*kind, "doc_id"], "left_semi").select("doc_id", "th", opened)
+    spans = store(whole.unionByName(once).unionByName(more).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     for t in (twice, shared, classes, paths, branching, branches):
         drop(t)
     texts = split_by(docs.where("doc_id IS NOT NULL"), spans)[0].join(spans, ["doc_id", "th"])
