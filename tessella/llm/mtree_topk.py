@@ -128,11 +128,16 @@ class MTree:
         score[own[asked][:, None] == node["own"][columns][None, :]] = _NONE
         k = best.shape[1]
         every = np.concatenate([best[asked], score], axis=1)
-        spots = np.concatenate([place[asked], np.broadcast_to(node["rows"][columns], score.shape)], axis=1)
-        order = np.argsort(spots, axis=1, kind="stable")
-        every, spots = np.take_along_axis(every, order, 1), np.take_along_axis(spots, order, 1)
-        order = np.argsort(-every, axis=1, kind="stable")[:, :k]
-        best[asked], place[asked] = np.take_along_axis(every, order, 1), np.take_along_axis(spots, order, 1)
+        least = np.partition(every, every.shape[1] - k, axis=1)[:, every.shape[1] - k]
+        i, j = np.nonzero((every >= least[:, None]) & (every > _NONE))  # k of each query, and more where scores are equal
+        found = every[i, j]
+        spot = np.where(j < k, place[asked[i], np.minimum(j, k - 1)], node["rows"][columns[np.maximum(j - k, 0)]])
+        order = np.lexsort((spot, -found, i))
+        i, found, spot = i[order], found[order], spot[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        top = rank < k
+        best[asked], place[asked] = _NONE, len(self.ids)
+        best[asked[i[top]], rank[top]], place[asked[i[top]], rank[top]] = found[top], spot[top]
 
 
 def whole_vectors(rows: DataFrame, vector: str = "embedding", row_id: str = "vec_id", scale: int = 64) -> DataFrame:
