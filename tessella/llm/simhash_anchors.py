@@ -211,6 +211,8 @@ def _handed_out(own: DataFrame, every: DataFrame) -> DataFrame:
 TABLES = 8
 #: Documents whose shingles are counted to find frequent ones, and in how many of these a frequent one is. They set the order of shingles only, not what is found.
 SAMPLE, FREQUENT = 20_000, 3
+#: Slices of the shingles of prefixes, at most, and sets from which on there is one more.
+SLICES, SLICED = 5, 45_000
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -274,35 +276,77 @@ def _meetings(group: np.ndarray, comp: np.ndarray, size: np.ndarray, place: np.n
             yield i[ok], j[ok]
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """Parities of numbers of shingles by their hashes, packed: a power of two of them, four a shingle or more (65536 at most)."""
+    m = 1 << min(16, max(6, int(4 * len(shingles) - 1).bit_length()))
+    return np.packbits((np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8))
+
+
+def _may_be_alike(x: int, p: bytes, y: int, q: bytes, similarity: float) -> bool:
+    """False only if sets of ``x`` and ``y`` shingles surely are not: what both hold cancels out, so they differ in as many shingles as in parities, or more."""
+    u, v = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return (1 + similarity) * int(np.bitwise_count(u ^ v).sum()) <= (1 - similarity) * (x + y) + 1e-6
+
+
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) between doc_ids whose sets of word shingles have a Jaccard similarity of ``similarity`` or more: each a true one, and enough to join all that chains of such links join.
 
     Equal sets are one node, named by the least doc_id that holds it. Sets with a common least hash are first compared with the least, the one before and one at random,
     so a group of copies gives as many pairs as it has members. Then every two sets of different components that share a shingle
     of their prefixes (all but ``similarity`` of a set, and one more, rare shingles first) are compared, which no two alike can escape; the shingles of a crowd are cut into pieces that all meet.
+    Only pairs whose parities leave it open are compared whole. Prefixes are worked off in ``SLICES`` by shingle, and pairs in rounds, so that shuffles of a part of them are on disk at once; all are worked off.
     Texts of fewer words are one shingle. Null ids name no document; a doc_id of several texts has the links of each.
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
-    frequent = spark.sparkContext.broadcast(_frequent(texts, words))
     odd = np.random.default_rng(20).integers(1, 2**63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def describe(batches):
         for pdf in batches:
             sets = [shingle_set(t, words) for t in pdf["t"].tolist()]
             least = [np.array([(s * m).min() for m in odd]).tobytes() for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["i"], "node": [_named(s) for s in sets], "size": [len(s) for s in sets], "least": least, "prefix": [_prefix(s, similarity, frequent.value).tobytes() for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["i"], "node": [_named(s) for s in sets], "size": [len(s) for s in sets], "least": least, "parities": [_parities(s).tobytes() for s in sets]})
         give_back()
 
-    own = store(texts.mapInPandas(describe, "doc_id bigint, node bigint, size bigint, least binary, prefix binary"), "sets")
-    nodes = store(own.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    sets = store(own.join(nodes, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "doc_id", "size", "least", "prefix"), "distinct-sets")
+    described = store(texts.mapInPandas(describe, "doc_id bigint, node bigint, size int, least binary, parities binary"), "sets")
+    own = store(described.select("doc_id", "node"), "own")
+    sets = store(described.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("least").alias("least"), F.first("parities").alias("parities")), "distinct-sets")
+    nodes = sets.select("node", "doc_id")
+    drop(described)
+    del described
     tidy(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b: nodes) that are alike."""
-        asked = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+        marks = lambda k, x, p: sets.select(F.col("node").alias(k), F.col("size").alias(x), F.col("parities").alias(p))
+
+        def open_ones(batches):
+            for pdf in batches:
+                ok = [_may_be_alike(x, p, y, q, similarity) for x, p, y, q in zip(pdf["x"].tolist(), pdf["p"].tolist(), pdf["y"].tolist(), pdf["q"].tolist(), strict=True)]
+                yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+
+        def in_rounds(todo: DataFrame, n: int, most: int, work, name: str) -> DataFrame:
+            """``work`` on ``todo`` in rounds of ``most`` pairs or so, all of them stored."""
+            done, rounds = None, max(1, -(-n // max(1, most)))
+            for r in range(rounds):
+                part = todo if rounds == 1 else todo.where(F.pmod(F.xxhash64("b", "a"), rounds) == r)
+                one = store(work(part), name)
+                done = one if done is None else done.unionByName(one)
+                stored.append(one)
+                tidy(spark)
+            return done
+
+        def by_parities(part: DataFrame) -> DataFrame:
+            return part.join(marks("a", "x", "p"), "a").join(marks("b", "y", "q"), "b").select("a", "b", "x", "p", "y", "q").mapInPandas(open_ones, "a bigint, b bigint")
+
+        stored = [pairs]
+        left = in_rounds(pairs, pairs.count(), 4 * sets.count(), by_parities, "open")
+        asked = store(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
         holders = store(nodes.join(asked, "node").select("doc_id", F.lit(0).alias("th")).distinct(), "holders")
 
         def shingled(batches):
@@ -313,7 +357,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
 
         again = split_by(texts.withColumn("_z", F.lit(0)), holders, "i", "_z")[0].select("t").mapInPandas(shingled, "node bigint, shingles binary")
         known = store(again.join(asked, "node", "left_semi").dropDuplicates(["node"]), "shingles")
-        both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        del again
+        tidy(spark)
 
         def check(batches):
             for pdf in batches:
@@ -325,10 +370,13 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
                 yield pdf.loc[np.array(ok, bool), ["a", "b"]]
             give_back()
 
-        out = store(both.select("a", "b", "x", "y").mapInPandas(check, "a bigint, b bigint"), "alike")
-        for t in (asked, holders, known, pairs):
+        def whole(part: DataFrame) -> DataFrame:
+            both = part.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+            return both.select("a", "b", "x", "y").mapInPandas(check, "a bigint, b bigint")
+
+        out = store(in_rounds(left, left.count(), 2 * asked.count(), whole, "alike"), "alike")
+        for t in (asked, holders, known, *stored):
             drop(t)
-        del both, again
         tidy(spark)
         return out
 
@@ -375,29 +423,36 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     tidy(spark)
 
     # every other pair
-    with_comp = store(sets.select("node", "size", "prefix").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "prefixes")
+    frequent = spark.sparkContext.broadcast(_frequent(texts, words))
+    tidy(spark)
 
-    def explode(batches):
+    def prefixed(batches):
         for pdf in batches:
-            rows = pdf["prefix"].tolist()
-            for at in range(0, len(rows), 500):
-                some = [np.frombuffer(x, np.int64) for x in rows[at : at + 500]]
-                n, here = [len(x) for x in some], pdf.iloc[at : at + 500]
-                yield pd.DataFrame(
-                    {"s": np.concatenate(some), "node": np.repeat(here["node"].to_numpy(), n), "comp": np.repeat(here["comp"].to_numpy(), n), "size": np.repeat(here["size"].to_numpy(), n), "place": np.concatenate([np.arange(x) for x in n])}
-                )
-
-    postings = with_comp.mapInPandas(explode, "s bigint, node bigint, comp bigint, size bigint, place bigint")
-    several = postings.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
-    piece = max(2, PIECE // 4)
-    live = store(several.select("s", F.ceil(F.col("n") / piece).cast("int").alias("k")), "live")
-    del several
+            found = [shingle_set(t, words) for t in pdf["t"].tolist()]
+            yield pd.DataFrame({"doc_id": pdf["i"], "node": [_named(s) for s in found], "prefix": [_prefix(s, similarity, frequent.value).tobytes() for s in found]})
+        give_back()
+
+    named = sets.select("node", "doc_id", "size").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    once = texts.mapInPandas(prefixed, "doc_id bigint, node bigint, prefix binary").groupBy("node", "doc_id").agg(F.first("prefix").alias("prefix"))
+    with_comp = store(once.join(named, ["node", "doc_id"]).select("node", "comp", "size", "prefix"), "prefixes")
+    del named, once
     tidy(spark)
-    some = split_by(postings.withColumn("_z", F.lit(0)), live.select(F.col("s").alias("doc_id"), F.lit(0).alias("th")), "s", "_z")[0].drop("_z").join(live, "s")
-    some = some.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    some = some.withColumns({"g": F.least("part", "q"), "h": F.greatest("part", "q")}).drop("q", "k")
+    piece = max(2, PIECE // 4)
     crowd_keys = ["s", "g", "h"]
 
+    def exploded(k: int, slices: int):
+        def run(batches):
+            for pdf in batches:
+                rows = pdf["prefix"].tolist()
+                for at in range(0, len(rows), 500):
+                    every, here = [np.frombuffer(x, np.uint64) for x in rows[at : at + 500]], pdf.iloc[at : at + 500]
+                    places = [np.flatnonzero((x >> np.uint64(32)) % np.uint64(slices) == k) for x in every]
+                    n = [len(x) for x in places]
+                    s = np.concatenate([x[p] for x, p in zip(every, places, strict=True)]).view(np.int64)
+                    yield pd.DataFrame({"s": s, "node": np.repeat(here["node"].to_numpy(), n), "comp": np.repeat(here["comp"].to_numpy(), n), "size": np.repeat(here["size"].to_numpy(), n), "place": np.concatenate(places)})
+
+        return run
+
     def pair(batches):
         for pdf in whole_groups(batches, crowd_keys):
             v = {k: pdf[k].to_numpy(np.int64) for k in pdf.columns}
@@ -415,11 +470,32 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
                 yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
         give_back()
 
-    found = some.repartition(parts, *crowd_keys).sortWithinPartitions(*crowd_keys).mapInPandas(pair, "a bigint, b bigint")
-    pairs = store(ordered(found), "pairs")
-    for t in (live, with_comp, sets):
+    def met_in_slice(k: int, slices: int) -> DataFrame:
+        """Pairs that share a shingle of this slice, stored."""
+        postings = with_comp.mapInPandas(exploded(k, slices), "s bigint, node bigint, comp bigint, size int, place int")
+        several = postings.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
+        live = store(several.select("s", F.ceil(F.col("n") / piece).cast("int").alias("k")), "live")
+        del several
+        tidy(spark)
+        some = split_by(postings.withColumn("_z", F.lit(0)), live.select(F.col("s").alias("doc_id"), F.lit(0).alias("th")), "s", "_z")[0].drop("_z").join(live, "s")
+        some = some.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        some = some.withColumns({"g": F.least("part", "q"), "h": F.greatest("part", "q")}).drop("q", "k")
+        found = some.repartition(parts, *crowd_keys).sortWithinPartitions(*crowd_keys).mapInPandas(pair, "a bigint, b bigint")
+        out = store(ordered(found), "pairs")
+        drop(live)
+        del some, found, postings
+        tidy(spark)
+        return out
+
+    slices = min(SLICES, -(-sets.count() // SLICED) or 1)
+    met = [met_in_slice(k, slices) for k in range(slices)]
+    every = met[0]
+    for m in met[1:]:
+        every = every.unionByName(m)
+    pairs = store(every.distinct(), "pairs") if slices > 1 else every
+    for t in (with_comp, *(met if slices > 1 else [])):
         drop(t)
-    del some, found, postings
+    del met, every
     tidy(spark)
     second = verified(pairs)
 
@@ -427,7 +503,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     links = first.unionByName(second).join(names("a"), "a").join(names("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     same = own.join(nodes.withColumnRenamed("doc_id", "b"), "node").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     out = store(links.unionByName(same).where("a <> b"), "links")
-    for t in (own, nodes, first, second):
+    for t in (own, sets, first, second):
         drop(t)
     tidy(spark)
     return out

@@ -175,3 +175,57 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark, documents):
     got = [(r["doc_id"], r["text"]) for r in cp.near_dedup(spark, documents(rows), SF).collect()]
     want = [(1, "one text that is repeated"), (2, "another text of the id"), (2, "two"), (3, None), (4, "alone among them all here"), (None, "no id"), (None, "no id")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_similar_links_keep_little_on_disk(spark, documents, monkeypatch):
+    """Stored tables never hold as much as the texts: prefixes are stored once, and worked off in slices and rounds."""
+    from tessella.llm import simhash_anchors as S
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(300):
+        w = [f"w{int(x)}" for x in rng.integers(0, 50_000, int(rng.integers(300, 500)))]
+        rows.append((3 * k, " ".join(w)))
+        if k % 3 == 0:  # alike, or not quite
+            for c, n in ((1, 4), (2, 12)):
+                v = list(w)
+                for at in rng.integers(0, len(w), n):
+                    v[int(at)] = "x"
+                rows.append((3 * k + c, " ".join(v)))
+    kept, peak = {}, [0]
+    size = lambda path: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet"))
+
+    def store(df, name, by=None):
+        out = stored(df.coalesce(1), name, by)
+        kept[out._stored_at.removeprefix("file://")] = None
+        peak[0] = max(peak[0], sum(size(p) for p in kept if os.path.isdir(p)))
+        return out
+
+    stored = S.store
+    monkeypatch.setattr(S, "store", store)
+    ids = [i for i, _ in rows]
+    want = joined(ids, alike_by_hand(rows))
+    for sliced in (45_000, 100):
+        if sliced == 100:
+            monkeypatch.setattr(S, "SLICED", sliced)
+        links = [tuple(r) for r in S.similar_links(documents(rows)).collect()]
+        assert joined(ids, links) == want and peak[0] < 0.8 * sum(len(t) for _, t in rows)
+
+
+def test_parities_let_all_alike_pass():
+    from tessella.llm import simhash_anchors as S
+
+    rng, refused = np.random.default_rng(5), 0
+    for n in (1, 3, 40, 400, 3000, 30_000):
+        for share in (0.5, 0.78, 0.8, 0.82, 1.0):
+            for more in (0.0, 0.5, 1.0):  # of the shingles that differ, on one side
+                both = int(round(share * n))
+                pool = np.unique(rng.integers(0, 2**64, 2 * n + 8, dtype=np.uint64))[:n]
+                rng.shuffle(pool)
+                own = int(round((n - both) * more))
+                x, y = np.sort(pool[: both + own]), np.sort(np.concatenate([pool[:both], pool[both + own :]]))
+                if len(x) and len(y):
+                    ok = S._may_be_alike(len(x), S._parities(x).tobytes(), len(y), S._parities(y).tobytes(), 0.8)
+                    assert ok or both < 0.8 * n
+                    refused += not ok
+    assert refused >= 10
