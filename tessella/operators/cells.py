@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CubeError
-from ..functions.sketches import KMV_SIZE, SAMPLE_SIZE, TOP_K_SIZE, value_hash
+from ..functions.sketches import KMV_SIZE, SAMPLE_SIZE, TOP_K_SIZE, WHOLE, value_hash
 from ..plans.shapes import Depths, shapes
 from ..spec import CubeSpec, Measure
 from ..xunits import GLOBAL, SCRUB
@@ -132,8 +132,9 @@ def _ranked(cells: DataFrame, keys: list[str], order: list[Column], most: int) -
     return cells.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= most)
 
 
-def measure_cells(base: DataFrame, layout: Layout, extra: list[str], inputs: dict[str, tuple[Column, Column | None]], doubles: bool = False, widths: dict[str, float] | None = None) -> DataFrame:
-    """One row per cell with a column ``m`` for each measure ``m``: numbers for scalars, else structs and arrays that the presenters take.
+def measure_cells(base: DataFrame, layout: Layout, extra: list[str], inputs: dict[str, tuple[Column, Column | None]], doubles: bool = False, widths: dict[str, float] | None = None, distinct: str = "sketch") -> DataFrame:
+    """One row per cell with a column ``m`` for each measure ``m``: numbers for scalars, else structs and arrays that the presenters take. Distinct counts hold the
+    least hashes of a cell, 1024 or the spec's kmvSize. Where the spec names no kmvSize, ``distinct`` may ask for more: ``count`` adds ``m__count``, the exact count, by groups of values; ``whole`` holds all hashes (8 bytes each, in one task).
 
     ``inputs``: the input and by columns of each measure; ``doubles``: numbers are made doubles first, as temporal states need.
     """
@@ -186,7 +187,11 @@ def measure_cells(base: DataFrame, layout: Layout, extra: list[str], inputs: dic
             scalar.append((m.name, F.struct(F.col(f"__n{i}").alias("count"), F.when(F.col(f"__n{i}") > 0, sums).alias("sums"))))
         elif m.agg == "count_distinct":
             sets = [([*extra, *layout.members(k)], layout.deepest(k)) for k in layout.kept]
-            frames.append((m.name, bottom_k_cells(rows, f"__x{i}", extra, layout.flat, sets, m.state.get("kmvSize", KMV_SIZE), m.name)))
+            frames.append((m.name, bottom_k_cells(rows, f"__x{i}", extra, layout.flat, sets, m.state.get("kmvSize", WHOLE if distinct == "whole" else KMV_SIZE), m.name)))
+            if distinct == "count" and "kmvSize" not in m.state:
+                name = f"{m.name}__count"
+                seen = to_cells_of(rows.where(x.isNotNull()).select(*keys, x.alias("v")).distinct(), layout, extra, ["v"])
+                frames.append((name, seen.groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > 0)))
         elif m.agg == "reservoir_sample":
             most = m.state.get("sampleCapacity", SAMPLE_SIZE)
             seen = rows.where(x.isNotNull()).select(*keys, x.alias("v")).distinct()
@@ -215,6 +220,7 @@ def measure_cells(base: DataFrame, layout: Layout, extra: list[str], inputs: dic
     for _, f in frames:
         every = every.unionByName(f, allowMissingColumns=True)
     merged_names = [m.name for m in spec.measures]
+    merged_names += [n for n, _ in frames if n not in merged_names]
     return every.groupBy(*keys).agg(F.max("__rows").alias("__rows"), *[F.first(n, ignorenulls=True).alias(n) for n in merged_names]).select(*keys, *merged_names)
 
 

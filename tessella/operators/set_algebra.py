@@ -26,7 +26,7 @@ def label_of(xunit: Column) -> Column:
 
 
 def pair_algebra(pairs: DataFrame, a: str, b: str, k: int = S.KMV_SIZE, total: str | None = None) -> DataFrame:
-    """Adds estimates of both sides, union, intersection, jaccard and, given the population's hashes in ``total``, lift."""
+    """Adds estimates of both sides (exact counts of whole sets if ``k`` is ``WHOLE``), union, intersection, jaccard and, given the population's hashes in ``total``, lift."""
     x, y = F.col(a), F.col(b)
     out = pairs.withColumns({"estimate_a": S.kmv_estimate(x, k), "estimate_b": S.kmv_estimate(y, k), "union_estimate": S.kmv_estimate(S.kmv_union(x, y, k), k), "intersection_estimate": S.kmv_intersection(x, y, k), "jaccard": S.kmv_jaccard(x, y, k)})
     lift = F.lit(None).cast("double")
@@ -92,8 +92,8 @@ def rates(cells: DataFrame, measure: str, dim: str, attr: str, value: str) -> Da
     return whole.join(hit, whole["xunit"] == hit["rest"], "left").select("xunit", F.col(measure).alias("whole"), F.coalesce("part", F.lit(0)).alias("part"), (F.coalesce("part", F.lit(0)) / F.col(measure)).alias("rate"))
 
 
-def merge_cubes(parts: list[DataFrame], spec, presented: bool = True, quantile_width: float = 1.0) -> DataFrame:
-    """Raw cubes (``build_cube(raw=True)``) of disjoint rows, merged by cell: the cube of all rows together.
+def merge_cubes(parts: list[DataFrame], spec, presented: bool = True, quantile_width: float = 1.0, exact: bool = False) -> DataFrame:
+    """Raw cubes (``build_cube(raw=True)``, all of them or none ``exact``) of disjoint rows, merged by cell: the cube of all rows together.
 
     Averages travel as (sum, count); hashes and bins as rows, so that no merged group stands in one place before it is cut.
     """
@@ -129,7 +129,7 @@ def merge_cubes(parts: list[DataFrame], spec, presented: bool = True, quantile_w
             cut = _ranked(items, ["xunit"], [F.desc("score"), F.col("key")], S.TOP_K_SIZE)
             frames.append(cut.groupBy("xunit").agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "key", "score"))), lambda e: F.struct(e["key"].alias("key"), e["score"].alias("score"))).alias(m.name)))
         else:
-            most = m.state.get("kmvSize", S.KMV_SIZE) if m.agg == "count_distinct" else m.state.get("sampleCapacity", S.SAMPLE_SIZE)
+            most = m.state.get("kmvSize", S.WHOLE if exact else S.KMV_SIZE) if m.agg == "count_distinct" else m.state.get("sampleCapacity", S.SAMPLE_SIZE)
             items = every.select("xunit", F.explode(c).alias("h")).distinct()
             cut = _ranked(items, ["xunit"], [F.col("h")], most)
             frames.append(cut.groupBy("xunit").agg(F.array_sort(F.collect_list("h")).alias(m.name)))
@@ -137,4 +137,4 @@ def merge_cubes(parts: list[DataFrame], spec, presented: bool = True, quantile_w
     for f in frames:
         out = out.join(f, "xunit", "left")
     out = out.select("xunit", *[m.name for m in spec.measures])
-    return out.select("xunit", *[c for m in spec.measures for c in present(m, quantile_width)]) if presented else out
+    return out.select("xunit", *[c for m in spec.measures for c in present(m, quantile_width, exact)]) if presented else out

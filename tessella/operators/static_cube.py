@@ -29,8 +29,8 @@ def variance_json(v: Column) -> Column:
     return F.when(v["count"] > 0, text)
 
 
-def present(m: Measure, width: float = 1.0) -> list[Column]:
-    """The output columns of a measure; sketches give two, the estimate and the bytes."""
+def present(m: Measure, width: float = 1.0, exact: bool = False, counted: bool = False) -> list[Column]:
+    """The output columns of a measure; sketches give two, the value and the bytes. Bytes of a distinct count hold 1024 hashes or the spec's kmvSize. ``exact``: the hashes are whole sets; ``counted``: exact counts are in a column of their own."""
     c, empty = F.col(m.name), F.array()
     if m.agg == "avg":
         return [F.when(c["count"] > 0, c["total"] / c["count"]).alias(m.name)]
@@ -39,9 +39,10 @@ def present(m: Measure, width: float = 1.0) -> list[Column]:
     if m.agg == "quantile":
         return [quantile_of(c, width).alias(m.name)]
     if m.agg == "count_distinct":
-        k = m.state.get("kmvSize", S.KMV_SIZE)
+        k, most = m.state.get("kmvSize", S.KMV_SIZE), m.state.get("kmvSize", S.WHOLE if exact else S.KMV_SIZE)
         h = F.coalesce(c, empty.cast("array<long>"))
-        return [S.kmv_estimate(h, k).alias(m.name), S.kmv_bytes(k)(h).alias(f"{m.name}__sketch")]
+        value = F.coalesce(f"{m.name}__count", F.lit(0)).cast("double") if counted and "kmvSize" not in m.state else S.kmv_estimate(h, most)
+        return [value.alias(m.name), S.kmv_bytes(k)(F.slice(h, 1, k)).alias(f"{m.name}__sketch")]
     if m.agg == "top_k":
         items = F.coalesce(c, empty.cast("array<struct<key:string,score:double>>"))
         return [S.topk_json(items).alias(m.name), S.topk_bytes(S.TOP_K_SIZE)(items).alias(f"{m.name}__sketch")]
@@ -55,12 +56,13 @@ def present(m: Measure, width: float = 1.0) -> list[Column]:
     return [c]
 
 
-def build_cube(spec: CubeSpec, source: DataFrame, strict: bool = False, quantile_width: float = 1.0, check: bool = True, raw: bool = False) -> DataFrame:
+def build_cube(spec: CubeSpec, source: DataFrame, strict: bool = False, quantile_width: float = 1.0, check: bool = True, raw: bool = False, exact: bool = False) -> DataFrame:
     """The cube of ``source``: ``xunit`` and the measures, sketches with their bytes as ``{name}__sketch``.
 
     ``strict`` refuses variance and quantile, which specs of version v1 may name but not build;
     otherwise quantiles use bins of ``quantile_width``. ``check``: count distinct strings against the
     spec's bound first. ``raw``: measures as mergeable structs and arrays, with level columns, for further plans.
+    ``exact``: distinct counts are exact where the spec names no kmvSize, and whole sets of hashes if ``raw``; else estimates of their sketches.
     """
     if not spec.measures:
         raise CubeError("a cube needs one measure or more")
@@ -72,12 +74,12 @@ def build_cube(spec: CubeSpec, source: DataFrame, strict: bool = False, quantile
     if check:
         guard(source.select(*level_columns(layout)), layout)
     inputs = {m.name: (None if m.agg == "count" else F.expr(m.input), None if m.by is None else F.expr(m.by)) for m in spec.measures}
-    cells = measure_cells(source, layout, [], inputs, widths={m.name: quantile_width for m in spec.measures if m.agg == "quantile" and "quantileBinWidth" not in m.state})
+    cells = measure_cells(source, layout, [], inputs, widths={m.name: quantile_width for m in spec.measures if m.agg == "quantile" and "quantileBinWidth" not in m.state}, distinct=("whole" if raw else "count") if exact else "sketch")
     named = cells.withColumn("xunit", xunit_text(layout))
     if raw:
         return named.select("xunit", *layout.flat, *[m.name for m in spec.measures])
     width = lambda m: m.state.get("quantileBinWidth", quantile_width)
-    return named.select("xunit", *[c for m in spec.measures for c in present(m, width(m))])
+    return named.select("xunit", *[c for m in spec.measures for c in present(m, width(m), counted=exact)])
 
 
 def show_cube(cube: DataFrame, first_measure: str | None = None, limit: int = 10) -> DataFrame:

@@ -69,7 +69,7 @@ def content_ids(canonical: pd.Series) -> pd.Series:
     return pd.Series(blake3_many([bytes(b) for b in canonical]))
 
 
-def state_value(m: Measure) -> Column:
+def state_value(m: Measure, exact: bool = False) -> Column:
     """The state of a cell's raw measure, as its column is stored."""
     c = F.col(m.name)
     if m.agg == "avg":
@@ -79,7 +79,7 @@ def state_value(m: Measure) -> Column:
     if m.agg == "quantile":
         return A.quantile_bytes(m.state["quantileBinWidth"])(c)
     if m.agg == "count_distinct":
-        return S.kmv_bytes(m.state.get("kmvSize", S.KMV_SIZE))(F.coalesce(c, F.array().cast("array<long>")))
+        return S.kmv_bytes(m.state.get("kmvSize", S.WHOLE if exact else S.KMV_SIZE))(F.coalesce(c, F.array().cast("array<long>")))
     if m.agg == "reservoir_sample":
         return S.sample_bytes(m.state.get("sampleCapacity", S.SAMPLE_SIZE))(c)
     if m.agg == "centroid":
@@ -105,11 +105,11 @@ class TemporalBuild:
         return {"source_rows": self.source.count(), "null_event_times": self.null_event_times, "generated_xunits": cells["x"] or 0, "buckets": cells["b"], "output_rows": cells["n"]}
 
 
-def build_temporal(spec: CubeSpec, source: DataFrame, window: Range | None = None, null_times: str = "reject", check: bool = True, ordered: bool = True) -> TemporalBuild:
+def build_temporal(spec: CubeSpec, source: DataFrame, window: Range | None = None, null_times: str = "reject", check: bool = True, ordered: bool = True, exact: bool = False) -> TemporalBuild:
     """The states of ``source``, of events in ``window`` if one is given.
 
     ``null_times``: ``reject`` fails if any row of the whole source has no event time; ``quarantine``
-    leaves such rows out and counts them. Coverage is the range from the first to the last bucket found, cut to the window; it is exact if that is the window, and says nothing of what lies between.
+    leaves such rows out and counts them. ``exact``: states of distinct counts without a kmvSize hold all hashes, so they count exactly when merged. Coverage is the range from the first to the last bucket found, cut to the window; it is exact if that is the window, and says nothing of what lies between.
     """
     t = spec.temporal
     if t is None:
@@ -136,10 +136,10 @@ def build_temporal(spec: CubeSpec, source: DataFrame, window: Range | None = Non
     named = rows.withColumn("bucket_start", bucket_start(time, t.base, t.origin))
     counted = CubeSpec(spec.api_version, spec.name, spec.dimensions, spec.rules, (*spec.measures, Measure("__rows_", "count")), spec.include_global, t, spec.max_dictionary_entries)
     inputs = {m.name: (None if m.agg == "count" else F.expr(m.input), None) for m in counted.measures}
-    cells = measure_cells(named, Layout(counted, layout.kept, layout.columns), ["bucket_start"], inputs, doubles=True)
+    cells = measure_cells(named, Layout(counted, layout.kept, layout.columns), ["bucket_start"], inputs, doubles=True, distinct="whole" if exact else "sketch")
     cells = cells.withColumnRenamed("__rows_", "__rows").withColumn("xunit_canonical", canonical_column(layout))
     registry = cells.select("xunit_canonical").distinct().withColumn("xunit_id", content_ids("xunit_canonical")).select("xunit_id", "xunit_canonical")
-    states = cells.select("bucket_start", content_ids("xunit_canonical").alias("xunit_id"), *[state_value(m).alias(state_column(m)) for m in spec.measures])
+    states = cells.select("bucket_start", content_ids("xunit_canonical").alias("xunit_id"), *[state_value(m, exact).alias(state_column(m)) for m in spec.measures])
     if ordered:
         states = states.orderBy("bucket_start", "xunit_id")
     coverage = None
