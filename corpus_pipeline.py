@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last the columns
 of documents, the last the token ids as well. Each works on all that its predecessor kept; of an
-empty table it keeps nothing, and further columns of documents are left out.
+empty table it keeps nothing, and further columns of documents are left out. A stage begins with
+executors that hold no garbage of the one before: their heaps and the Python workers share one limit.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import drop, settings_kept, small_batches, split_by, store
+from tessella.llm.common import drop, executors_tidy, settings_kept, small_batches, split_by, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,6 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.3) go."""
     from tessella.llm.quality_rff import keep, train
 
+    executors_tidy(spark)
     small_batches(spark)
     return keep(docs.select(*COLUMNS), train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
@@ -37,10 +39,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tessella.llm.common import components
     from tessella.llm.simhash_anchors import near_duplicates, similar_links
 
+    executors_tidy(spark)
     small_batches(spark)
     docs = _once(docs.select(*COLUMNS))
     links = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    found = components(links.unionByName(similar_links(docs)))
+    executors_tidy(spark)
+    links = links.unionByName(similar_links(docs))
+    executors_tidy(spark)
+    found = components(links)
     gone = store(found.where("node <> root").select(F.col("node").alias("doc_id"), F.lit(0).alias("th")).distinct(), "gone")
     own = docs.select(*COLUMNS).withColumn("_z", F.lit(0))
     some, others = split_by(own, gone, "doc_id", "_z")
@@ -51,6 +57,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Words in windows of 50 that a document of a smaller doc_id holds as well are cut; a text that loses nothing stays as it is, one that loses all its words goes."""
     from tessella.llm.substring_dedup import dedup_substrings
 
+    executors_tidy(spark)
     small_batches(spark)
     out = dedup_substrings(docs.select(*COLUMNS)).where("n_removed = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
@@ -61,6 +68,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with a twentieth of their words or more inside passages of the benchmark go."""
     from tessella.llm.positional_index import contamination
 
+    executors_tidy(spark)
     small_batches(spark)
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = store(found.where("contaminated").select("doc_id", F.col("text_hash").alias("th")).distinct(), "contaminated")
@@ -74,6 +82,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from tessella.llm.bpe import encode as bpe
 
+    executors_tidy(spark)
     small_batches(spark)
     out = bpe(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), decode=False)
     return out.withColumn("n_tokens", F.expr("CAST(octet_length(token_ids) / 4 AS BIGINT)"))

@@ -76,6 +76,15 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def executors_tidy(spark: SparkSession) -> None:
+    """The JVM of every executor that stands idle collects its garbage and returns free heap to the system: else it keeps what earlier work has touched, beside the Python workers of the next.
+
+    One task for each of them (the driver counts as one, where it has tasks of its own); Spark deals tasks of one stage to free executors in turn.
+    """
+    n = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size()
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def give_back() -> None:
     """In a Python worker: memory that is free but still held goes back to the system, so that the next task finds it."""
     pa.default_memory_pool().release_unused()

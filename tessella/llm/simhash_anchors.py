@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, give_back, split_by, store, tidy, whole_groups
+from .common import components, drop, executors_tidy, give_back, split_by, store, tidy, whole_groups
 
 #: (Distinct fingerprints up to, block length): shorter blocks give more anchors with fewer fingerprints at each.
 CODES = [(20_000, 7), (1_000_000, 5), (2**63, 3)]
@@ -421,6 +421,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     del met, dealt, near, hub, met_in
     comps = components(first).select("node", F.col("root").alias("comp"))
     tidy(spark)
+    executors_tidy(spark)
 
     # every other pair
     frequent = spark.sparkContext.broadcast(_frequent(texts, words))
@@ -497,6 +498,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
         drop(t)
     del met, every
     tidy(spark)
+    executors_tidy(spark)
     second = verified(pairs)
 
     names = lambda k: nodes.select(F.col("node").alias(k), F.col("doc_id").alias(f"{k}_id"))

@@ -229,3 +229,50 @@ def test_parities_let_all_alike_pass():
                     assert ok or both < 0.8 * n
                     refused += not ok
     assert refused >= 10
+
+
+def test_stages_begin_with_tidy_executors(spark, documents, monkeypatch):
+    class Begun(Exception):
+        pass
+
+    def begun(session):
+        raise Begun
+
+    monkeypatch.setattr(cp, "executors_tidy", begun)
+    for _, stage in cp.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, documents([(1, "one")]), SF)
+
+
+CLUSTER = """
+import glob, sys
+from pyspark.sql import SparkSession
+from tessella.llm.common import executors_tidy
+
+spark = SparkSession.builder.master("local-cluster[3,2,1000]").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").config("spark.executor.extraJavaOptions", "-Xlog:gc:file=" + sys.argv[1] + "/%p.gc").getOrCreate()
+pauses = lambda: [open(f).read().count("(System.gc())") for f in sorted(glob.glob(sys.argv[1] + "/*.gc"))]
+spark.range(0, 60, 1, 60).selectExpr("java_method('java.lang.Thread', 'activeCount')").collect()
+while spark._jsc.sc().getExecutorMemoryStatus().size() < 4:
+    pass
+before = pauses()
+executors_tidy(spark)
+print("GC", len(before), sum(before), sum(n > 0 for n in pauses()))
+spark.stop()
+"""
+
+
+def test_every_executor_collects_its_garbage(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pyspark
+
+    (tmp_path / "home" / "work").mkdir(parents=True)  # executors work in Spark's home
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    repo = str(Path(cp.__file__).parent)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))} | {"SPARK_HOME": str(tmp_path / "home"), "SPARK_LOCAL_DIRS": str(tmp_path), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYTHONPATH": repo, "PYSPARK_PYTHON": sys.executable}
+    ran = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "GC 3 0 3" in ran.stdout, ran.stdout + ran.stderr
