@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ PIECE = 20_000
 AT_ONCE, LOOK_UP = 4_000_000, 200_000
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the word shingles, repeats included; no words: 0."""
-    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def fingerprint(text: str | bytes | None, words: int = 3) -> int:
+    """Unsigned 64-bit SimHash of the word shingles, repeats included; no words: 0. Bytes count as they are, characters or not."""
+    w = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower().split() if text else []
     if not w:
         return 0
     joined, digest = b" ".join(w), xxhash.xxh64_intdigest
@@ -46,14 +47,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp: the fingerprint as a signed long) of every row; null and empty texts have 0."""
+    """(doc_id, fp: the fingerprint as a signed long) of every row; null and empty texts have 0.
+
+    Arrow columns, not frames: among null ids a frame would hold the others as doubles, exact to 53 bits only.
+    """
 
     def run(batches):
-        for pdf in batches:
-            fp = np.array([fingerprint(t if isinstance(t, str) else None, words) for t in pdf["t"].tolist()], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["i"], "fp": fp.view(np.int64)})
+        for batch in batches:
+            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInPandas(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def anchors(fps: np.ndarray, length: int, threshold: int = 2):
@@ -167,7 +171,7 @@ def near_links(distinct: DataFrame, threshold: int = 2, rows: int | None = None)
             for _, rows in pdf.groupby(keys, sort=False).indices.items():
                 fps, at_home = pdf["fp"].to_numpy(np.int64)[rows].view(np.uint64), pdf["home"].to_numpy(bool)[rows]
                 guests, homes = fps[~at_home], fps[at_home]
-                if len(homes) and len(guests) > 1:
+                if len(homes) and len(guests) and (len(guests) > 1 or (homes != guests[0]).any()):
                     label = _links(guests, homes, threshold)
                     nodes = np.concatenate([guests, homes]).view(np.int64)
                     other = nodes != nodes[label]
@@ -189,6 +193,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, text: s
     own = store(fingerprints(docs, text, words, doc_id), "fingerprints")
     distinct = store(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct")
     found = components(near_links(distinct, threshold))
+    found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())  # a root is a member as well
     least = found.join(distinct, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     named = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     every = distinct.join(named, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id"))

@@ -230,6 +230,33 @@ def test_near_duplicates(documents, odd, no_documents, with_clashes):
     assert r[3]["component_id"] == 1 and r[3]["fp"] % 2**64 == plain_fingerprint(text)
 
 
+def test_components_are_named_by_the_least_of_all_their_documents(documents):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):
+        w = [f"w{i}" for i in rng.integers(0, 5000, 500)]
+        for _ in range(8):
+            w = list(w)
+            w[int(rng.integers(500))] = "other"
+            texts.append(" ".join(w))
+    ids = [2**60 + int(k) for k in rng.permutation(len(texts))]
+    rows = [(None if k % 10 == 3 else i, t) for k, (i, t) in enumerate(zip(ids, texts, strict=True))] + [(5, ""), (6, None), (2**60 - 1, texts[0].upper())]
+    fps = [plain_fingerprint(t) for _, t in rows]
+    root, least = roots(set(fps)), {}
+    for (i, _), v in zip(rows, fps, strict=True):
+        if i is not None:
+            least[root[v]] = min(least.get(root[v], i), i)
+    assert len(set(fps)) - len(set(root.values())) > 20
+    got = near_duplicates(documents(rows).coalesce(1)).collect()
+    assert Counter((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in got) == Counter((i, v, least.get(root[v])) for (i, _), v in zip(rows, fps, strict=True))
+
+
+def test_fingerprints_of_bytes_that_are_no_characters(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'FFFE0941E9' AS STRING) AS text UNION ALL SELECT 2L, CAST(X'FFFE2061E9' AS STRING)")
+    got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in near_duplicates(docs).collect()}
+    assert got == dict.fromkeys((1, 2), (xxhash.xxh64_intdigest(b"\xff\xfe a\xe9", 42), 1))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
